@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import ENTER_STREAK, EXIT_STREAK
-from .ordered import Ordered
+from .ordered import Ordered, group_sizes
 
 
 def _streak_event(above: Column, enter: int, leave: int):
@@ -24,7 +24,7 @@ def _streak_event(above: Column, enter: int, leave: int):
 
 def hysteresis(df: DataFrame, keys: list[str], order: list[str], above: str, state: str = "alert_state",
                enter: int = ENTER_STREAK, leave: int = EXIT_STREAK, advances: str | None = None,
-               split_rows: int | None = None) -> DataFrame:
+               split_rows: int | None = None, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Alert state per key after every reading.
 
     The two-state machine has a closed form: a run of `enter` readings above always ends in
@@ -35,11 +35,12 @@ def hysteresis(df: DataFrame, keys: list[str], order: list[str], above: str, sta
     event = _streak_event(F.col(above), enter, leave)
     back = max(enter, leave) - 1
     if advances is None:
-        seq = Ordered(df, keys, order, split_rows).within(back, _event=event)
+        seq = Ordered(df, keys, order, split_rows, sizes).within(back, _event=event)
     else:
-        moving = Ordered(df.filter(F.col(advances)), keys, order, split_rows).within(back, _event=event).df
+        sizes = sizes or group_sizes(df, keys)
+        moving = Ordered(df.filter(F.col(advances)), keys, order, split_rows, sizes).within(back, _event=event).df
         waiting = df.filter(~F.col(advances)).withColumn("_event", F.lit(None).cast("string"))
-        seq = Ordered(moving.unionByName(waiting), keys, order, split_rows, measure=df)
+        seq = Ordered(moving.unionByName(waiting), keys, order, split_rows, sizes)
     seq.running(**{state: ("last", F.col("_event"))})
     return seq.df.drop("_event").withColumn(state, F.coalesce(state, F.lit("normal")))
 
@@ -67,14 +68,14 @@ def first_arrivals(df: DataFrame, keys: list[str], arrival: list[str], event_id:
     return out.withColumn("duplicate", F.col(event_id) != F.col("original_id"))
 
 
-def late_rows(df: DataFrame, keys: list[str], batch: str, time_us: str,
-              split_rows: int | None = None) -> DataFrame:
+def late_rows(df: DataFrame, keys: list[str], batch: str, time_us: str, split_rows: int | None = None,
+              sizes: tuple[int, int] | None = None) -> DataFrame:
     """Flag rows older than what earlier batches had already delivered for their key.
 
     The high-water mark needs one row per key and batch, not the readings themselves.
     """
     marks = df.groupBy(*keys, batch).agg(F.max(time_us).alias("_top"))
-    seq = Ordered(marks, keys, [batch], split_rows).running(exclusive=True, _mark=("max", F.col("_top")))
+    seq = Ordered(marks, keys, [batch], split_rows, sizes).running(exclusive=True, _mark=("max", F.col("_top")))
     joined = df.join(seq.df.drop("_top"), [*keys, batch])
     return joined.withColumn("out_of_order", F.coalesce(F.col(time_us) < F.col("_mark"), F.lit(False))).drop("_mark")
 
@@ -87,10 +88,12 @@ def accept(df: DataFrame, site: str = "site", batch: str = "batch_seq", position
     Repeats keep the original event id and carry no state. Late rows are kept and get the
     current state without changing it. Batches are read in order, and by time inside a batch.
     """
+    sizes = group_sizes(df, [site])
     seen = first_arrivals(df, [site, time_us], [batch, position], event_id)
-    fresh = late_rows(seen.filter(~F.col("duplicate")), [site], batch, time_us, split_rows)
+    fresh = late_rows(seen.filter(~F.col("duplicate")), [site], batch, time_us, split_rows, sizes)
     fresh = fresh.withColumn("_moves", ~F.col("out_of_order"))
-    stated = hysteresis(fresh, [site], [batch, time_us], above, advances="_moves", split_rows=split_rows)
+    stated = hysteresis(fresh, [site], [batch, time_us], above, advances="_moves",
+                        split_rows=split_rows, sizes=sizes)
     repeats = seen.filter("duplicate").withColumns({
         "out_of_order": F.lit(False), "alert_state": F.lit(None).cast("string")})
     return stated.drop("_moves").unionByName(repeats)

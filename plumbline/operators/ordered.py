@@ -41,13 +41,14 @@ class Ordered:
     """Rows with a total order per key; `order` columns ascend, are not NULL and unique per key."""
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str],
-                 split_rows: int | None = None, measure: DataFrame | None = None):
+                 split_rows: int | None = None, sizes: tuple[int, int] | None = None):
         self.keys, self.order = list(keys), list(order)
         self._rows = df
         self._limit = split_rows or conf_split_rows(df.sparkSession)
         self._spans = None
         self._pending = False
-        top, total = group_sizes(measure if measure is not None else df, self.keys)
+        # `sizes` spares the measurement where a bound is known, such as that of a superset.
+        top, total = sizes or group_sizes(df, self.keys)
         if top > self._limit:
             self._split(total)
 
