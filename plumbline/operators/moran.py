@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..constants import ALPHA, MIN_SITES, PERMUTATIONS
 from ..functions.columns import ratio
+from ..session import cut
 from .ordered import Ordered, sized
 
 # Up to this many sites every position takes part in a draw; beyond it positions are drawn.
@@ -104,45 +107,56 @@ def local_moran(values: DataFrame, edges: DataFrame, rounds: int = PERMUTATIONS,
     """Local index, conditional pseudo p and quadrant (1 HH, 2 LH, 3 LL, 4 HL, 0 not significant).
 
     A round draws positions among the other sites once for all sites: counted without the site
-    itself, a position means the same site or the next one. So a round is described by a few value
-    pairs, and every site compares itself with all rounds inside its own row. Only that description,
-    bounded by rounds times the largest degree, is broadcast.
+    itself, a position means the same site or the next one. So a round is described by as many value
+    pairs as the largest degree, and every site compares itself with all rounds where it is. Only
+    that description, rounds times degree, leaves Spark. A site without neighbours has no p.
     """
     rows = lagged(values, edges, None, value)
-    numbered = Ordered(rows, [], ["site"], split_rows).number("_at").df.withColumn("_at", F.col("_at") - 1)
-    facts = rows.agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("z") * F.col("z")).alias("_square"),
-                     F.max("degree").alias("_most")).first()
-    n, square, most = facts["_n"], facts["_square"], facts["_most"]
+    numbered = cut(Ordered(rows, [], ["site"], split_rows).number("_at").df.withColumn("_at", F.col("_at") - 1))
+    facts = numbered.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("z") * F.col("z")).alias("square"),
+                         F.max("degree").alias("most")).first()
+    n, square, most = facts["n"], facts["square"], facts["most"]
     if n < 2 or not square or not most:
         blank = {"local_i": "double", "p_value": "double", "quadrant": "int"}
         return rows.select("site", value, "z", "lag", *[F.lit(None).cast(t).alias(c) for c, t in blank.items()])
     draws = _draws(n, most, rounds, seed, values.sparkSession)
-    at = numbered.select(F.col("_at").alias("at"), F.col("z").alias("low"))
-    after = numbered.select((F.col("_at") - 1).alias("at"), F.col("z").alias("high"))
-    pairs = F.broadcast(draws).join(at, "at").join(after, "at").groupBy("round").agg(
-        F.array_sort(F.collect_list(F.struct("nth", "at", "low", "high"))).alias("d"))
-    plan = pairs.agg(F.collect_list("d").alias("_rounds"))
+    low = numbered.select(F.col("_at").alias("at"), F.col("z").alias("low"))
+    high = numbered.select((F.col("_at") - 1).alias("at"), F.col("z").alias("high"))
+    drawn = F.broadcast(draws).join(low, "at").join(high, "at").select("round", "nth", "at", "low", "high")
+    table = drawn.toPandas().sort_values(["round", "nth"])
+    at, lows, highs = (table[c].to_numpy().reshape(rounds, most) for c in ("at", "low", "high"))
+    scale = (n - 1) / square
+
+    def compare(batches):
+        for pdf in batches:
+            yield pdf.assign(_bigger=_rounds_above(pdf, at, lows, highs, scale))
+
+    fields = T.StructType([*numbered.schema.fields, T.StructField("_bigger", T.LongType())])
     c = F.col
-    scale = F.lit((n - 1) / square)
-
-    def draw_mean(drawn: Column) -> Column:
-        used = F.slice(drawn, 1, c("degree").cast("int"))
-        total = F.aggregate(used, F.lit(0.0), lambda acc, d: acc + F.when(d["at"] < c("_at"), d["low"]).otherwise(d["high"]))
-        return total / c("degree")
-
-    observed = F.round(c("z") * c("lag") * scale, 9)
-    bigger = F.size(F.filter("_rounds", lambda d: F.round(c("z") * draw_mean(d) * scale, 9) >= observed))
-    out = _with_one(numbered, plan).withColumns({
-        "local_i": c("z") * c("lag") * scale,
-        "_bigger": F.when(c("degree") > 0, bigger)})
-    p = (F.least(c("_bigger"), F.lit(rounds) - c("_bigger")) + 1) / F.lit(float(rounds + 1))
-    high, around = c("z") > 0, c("lag") > 0
-    kind = F.when(high & around, 1).when(~high & around, 2).when(~high & ~around, 3).otherwise(4)
+    out = numbered.mapInPandas(compare, fields).withColumn("local_i", c("z") * c("lag") * scale)
+    p = F.when(c("degree") > 0, (F.least(c("_bigger"), F.lit(rounds) - c("_bigger")) + 1) / F.lit(float(rounds + 1)))
+    up, around = c("z") > 0, c("lag") > 0
+    kind = F.when(up & around, 1).when(~up & around, 2).when(~up & ~around, 3).otherwise(4)
     return out.withColumn("p_value", p).withColumn(
         "quadrant", F.when(c("p_value") < alpha, kind).otherwise(0)).select(
         "site", value, "z", "lag", "local_i", "p_value", "quadrant")
 
 
+def _rounds_above(pdf: pd.DataFrame, at, lows, highs, scale: float) -> np.ndarray:
+    """Per site, the rounds whose simulated index is not below the observed one."""
+    mine, degree = pdf["_at"].to_numpy(), pdf["degree"].to_numpy()
+    observed = np.round(pdf["z"].to_numpy() * pdf["lag"].to_numpy() * scale, 9)
+    out = np.zeros(len(pdf), dtype="int64")
+    for k in np.unique(degree[degree > 0]):
+        total = np.zeros((int((degree == k).sum()), at.shape[0]))
+        where = np.flatnonzero(degree == k)
+        for j in range(k):
+            total += np.where(at[None, :, j] < mine[where, None], lows[None, :, j], highs[None, :, j])
+        simulated = np.round(pdf["z"].to_numpy()[where, None] * total / k * scale, 9)
+        out[where] = (simulated >= observed[where, None]).sum(axis=1)
+    return out
+
+
 def scatter_line(values: DataFrame, edges: DataFrame, value: str = "value") -> DataFrame:
     """Line through the points (deviation, lag)."""
     rows = lagged(values, edges, None, value)

@@ -116,7 +116,7 @@ def _block_pairs(boxes: DataFrame) -> DataFrame:
     have = boxes.select(c("block").alias("other"), c("s").alias("os"), c("n").alias("on"),
                         F.explode(_cells(c("s"), c("n"), c("w"), c("e"))).alias("cell"))
     near = ask.join(have, "cell").filter((c("os") <= c("gn") + 1e-9) & (c("on") >= c("gs") - 1e-9))
-    return cut(near.select("block", "other").distinct())
+    return near.select("block", "other").distinct()
 
 
 def inverse_distance_weights(edges: DataFrame, key: str = "site") -> DataFrame:

@@ -50,3 +50,11 @@ def priority_list(events: DataFrame, sites: DataFrame, split_rows=None) -> DataF
         "state": F.when(F.col("alerting_now"), "alerting").otherwise("cleared"),
         "gate_basis": gate_basis(F.col("alert_state"))})
     return rank(out, "pop_2km", "severity", "site", split_rows=split_rows).drop("_ever")
+
+
+def min_rank(df: DataFrame, value: str, name: str = "rank", split_rows=None) -> DataFrame:
+    """Rank by falling value; equal values share the lowest rank. Counted on distinct values."""
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_c")).withColumn("_down", -F.col(value))
+    above = Ordered(counts, [], ["_down"], split_rows).running(exclusive=True, _above=("sum", F.col("_c"))).df
+    ranks = above.select(value, (F.coalesce("_above", F.lit(0).cast("long")) + 1).alias(name))
+    return df.join(ranks, value)
