@@ -1,8 +1,49 @@
-"""Classifier training, scoring and sampling on Spark ML."""
+"""Classifier training, grouped out-of-fold scoring, calibration and persistence on Spark ML."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import json
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import IsotonicRegression
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..constants import THRESHOLD
+from ..functions.columns import severity, verdict
+from .ordered import percentile_columns
+
+# Columns of a feature table that a model must not see (fixed values).
+EXCLUDED = (
+    "iTOW", "real_time", "lat", "lon", "height", "clock_drift_proxy_s", "attack", "scenario_id", "attack_type",
+    "rover_state", "power_w_max", "bands", "n_attack_windows", "window_start_in_range", "run_id",
+)
+
+
+@dataclass
+class Scorer:
+    """A fitted pipeline with everything needed to read its scores."""
+
+    pipeline: PipelineModel
+    features: list[str]
+    threshold: float = THRESHOLD
+    floor: float = 0.0
+    ceiling: float = 1.0
+    version: str = "1"
+    facts: dict = field(default_factory=dict)
+
+    @property
+    def tag(self) -> dict[str, str]:
+        return {"version": self.version, "threshold": repr(self.threshold), "features": "\n".join(self.features)}
+
+
+def feature_columns(df: DataFrame, excluded=EXCLUDED) -> list[str]:
+    """Every column that is not excluded, in table order."""
+    return [c for c in df.columns if c not in excluded]
 
 
 def short_hash(parts: Column, digits: int = 12) -> Column:
@@ -13,3 +54,170 @@ def short_hash(parts: Column, digits: int = 12) -> Column:
 def hash_sample(df: DataFrame, keys: list[str], rows: int, seed: int) -> DataFrame:
     """The same `rows` rows for the same seed, whatever the partitioning."""
     return df.withColumn("_h", F.xxhash64(F.lit(seed), *keys)).orderBy("_h", *keys).limit(rows).drop("_h")
+
+
+def hash_sample_with_replacement(df: DataFrame, keys: list[str], fraction: float, seed: int) -> DataFrame:
+    return df.sample(withReplacement=True, fraction=fraction, seed=seed)
+
+
+def balanced(df: DataFrame, label: str) -> DataFrame:
+    """Adds `weight` = rows / (2 * rows of the class)."""
+    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(counts.values())
+    weight = F.lit(None).cast("double")
+    for value, n in counts.items():
+        weight = F.when(F.col(label) == value, F.lit(total / (2.0 * n))).otherwise(weight)
+    return df.withColumn("weight", weight)
+
+
+def positive_weight(df: DataFrame, label: str) -> DataFrame:
+    """Adds `weight`: attack rows count clean/attack times."""
+    row = df.agg(F.count_if(F.col(label) == 0).alias("n0"), F.count_if(F.col(label) == 1).alias("n1")).first()
+    return df.withColumn("weight", F.when(F.col(label) == 1, F.lit(row["n0"] / max(row["n1"], 1))).otherwise(1.0))
+
+
+def _prepare(df: DataFrame, features: list[str]) -> list:
+    """Stages that fill missing values with the exact training median and assemble a vector."""
+    medians = percentile_columns(df, [], {f: (f, 0.5) for f in features}).first()
+    filled = ", ".join(f"coalesce(nanvl(CAST(`{f}` AS DOUBLE), NULL), {medians[f] or 0.0!r}D) AS `_x_{f}`" for f in features)
+    return [SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
+            VectorAssembler(inputCols=[f"_x_{f}" for f in features], outputCol="_features")]
+
+
+def _fit(df: DataFrame, features: list[str], classifier) -> PipelineModel:
+    stages = _prepare(df, features)
+    ready = df
+    for stage in stages:
+        ready = stage.transform(ready)
+    return PipelineModel([*stages, classifier.fit(ready)])
+
+
+def fit_forest(df: DataFrame, features: list[str], label: str, trees: int = 300, depth: int = 20,
+               seed: int = 42) -> PipelineModel:
+    forest = RandomForestClassifier(featuresCol="_features", labelCol=label, weightCol="weight", numTrees=trees,
+                                    maxDepth=depth, seed=seed)
+    return _fit(balanced(df, label), features, forest)
+
+
+def fit_boosted(df: DataFrame, features: list[str], label: str, rounds: int = 300, depth: int = 6, step: float = 0.1,
+                sample: float = 0.8, seed: int = 42) -> PipelineModel:
+    boosted = GBTClassifier(featuresCol="_features", labelCol=label, weightCol="weight", maxIter=rounds, maxDepth=depth,
+                            stepSize=step, subsamplingRate=sample, seed=seed)
+    return _fit(positive_weight(df, label), features, boosted)
+
+
+def probability(model: PipelineModel, df: DataFrame, out: str = "probability") -> DataFrame:
+    scored = model.transform(df)
+    added = [c for c in scored.columns if c not in df.columns]
+    return scored.withColumn("_p", vector_to_array("probability")[1]).drop(*added).withColumnRenamed("_p", out)
+
+
+def score(scorer: Scorer, df: DataFrame) -> DataFrame:
+    """Adds probability, predicted_label and severity."""
+    p = F.col("probability")
+    return probability(scorer.pipeline, df).withColumns({
+        "predicted_label": verdict(p, scorer.threshold), "severity": severity(p, scorer.floor, scorer.ceiling)})
+
+
+def out_of_fold(df: DataFrame, fold: str, folds: int, fit: Callable[[DataFrame], PipelineModel],
+                out: str = "probability") -> DataFrame:
+    """Score every row with a model that saw none of its fold; one row in, one row out."""
+    parts = []
+    for i in range(folds):
+        model = fit(df.filter(F.col(fold) != i))
+        parts.append(probability(model, df.filter(F.col(fold) == i), out))
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+def once_per_row(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that were scored never or more than once; empty when all is well."""
+    counts = after.groupBy(*keys).agg(F.count("probability").alias("scores"))
+    return before.select(*keys).join(counts, keys, "left").filter(F.coalesce("scores", F.lit(0)) != 1)
+
+
+def calibrated(df: DataFrame, fold: str, folds: int, label: str, fit: Callable[[DataFrame], PipelineModel],
+               method: str = "sigmoid", out: str = "calibrated") -> DataFrame:
+    """Out-of-fold calibrated scores with an inner loop over the remaining folds.
+
+    Each inner model is calibrated on the fold it left out; the outer fold gets their mean.
+    """
+    result = None
+    for i in range(folds):
+        held, rest = df.filter(F.col(fold) == i), df.filter(F.col(fold) != i)
+        names = []
+        for j in (x for x in range(folds) if x != i):
+            model = fit(rest.filter(F.col(fold) != j))
+            inner = probability(model, rest.filter(F.col(fold) == j), "_raw")
+            held = _apply(_calibrator(inner, label, method), probability(model, held, "_raw"), method, f"_c{j}")
+            names.append(f"_c{j}")
+        mean = sum((F.col(c) for c in names[1:]), F.col(names[0])) / len(names)
+        part = held.withColumn(out, mean).drop(*names)
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
+def _calibrator(df: DataFrame, label: str, method: str):
+    if method == "isotonic":
+        return IsotonicRegression(featuresCol="_raw", labelCol=label, predictionCol="_cal").fit(df)
+    ready = VectorAssembler(inputCols=["_raw"], outputCol="_v").transform(df)
+    return LogisticRegression(featuresCol="_v", labelCol=label, probabilityCol="_pc", rawPredictionCol="_rc",
+                              predictionCol="_cal").fit(ready)
+
+
+def _apply(model, df: DataFrame, method: str, out: str) -> DataFrame:
+    if method == "isotonic":
+        return model.transform(df).withColumnRenamed("_cal", out).drop("_raw")
+    scored = model.transform(VectorAssembler(inputCols=["_raw"], outputCol="_v").transform(df))
+    return scored.withColumn(out, vector_to_array("_pc")[1]).drop("_raw", "_v", "_rc", "_pc", "_cal")
+
+
+def ablation(df: DataFrame, sets: dict[str, list[str]], fold: str, folds: int, label: str,
+             fit: Callable[[DataFrame, list[str]], PipelineModel], threshold: float = 0.5) -> DataFrame:
+    """Fold metrics of several feature sets, stacked."""
+    from .metrics import confusion
+
+    result = None
+    for name, columns in sets.items():
+        scored = out_of_fold(df, fold, folds, lambda part, columns=columns: fit(part, columns))
+        rows = scored.withColumn("predicted", (F.col("probability") >= threshold).cast("int"))
+        part = confusion(rows, label, "predicted", [fold]).withColumn("feature_set", F.lit(name))
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
+def importances(model: PipelineModel, features: list[str], spark: SparkSession) -> DataFrame:
+    """Feature importances, one row per feature."""
+    values = model.stages[-1].featureImportances.toArray()
+    rows = [(f, float(v)) for f, v in zip(features, values)]
+    return spark.createDataFrame(rows, "feature string, importance double")
+
+
+def same_scores(model: PipelineModel, df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that score differently when scored twice; empty for a deterministic model."""
+    first, second = (probability(model, df).select(*keys, "probability") for _ in range(2))
+    return first.exceptAll(second)
+
+
+def save(scorer: Scorer, path: str) -> None:
+    """Model and facts side by side; the facts are one JSON row."""
+    scorer.pipeline.write().overwrite().save(f"{path}/pipeline")
+    facts = {"features": scorer.features, "threshold": scorer.threshold, "floor": scorer.floor,
+             "ceiling": scorer.ceiling, "version": scorer.version, "facts": json.dumps(scorer.facts)}
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
+
+
+def load(spark: SparkSession, *paths: str) -> Scorer:
+    """The first artifact that can be read."""
+    for path in paths:
+        try:
+            facts = json.loads(spark.read.text(f"{path}/facts").first()["value"])
+            pipeline = PipelineModel.load(f"{path}/pipeline")
+        except Exception:  # noqa: BLE001 - a missing artifact falls through to the next
+            continue
+        return Scorer(pipeline, facts["features"], facts["threshold"], facts["floor"], facts["ceiling"],
+                      facts["version"], json.loads(facts["facts"]))
+    raise FileNotFoundError(f"no model under {', '.join(paths)}")

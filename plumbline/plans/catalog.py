@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import alerting, evaluation, investigation, recordings, spatial  # noqa: F401
+from . import alerting, evaluation, investigation, modelling, recordings, spatial  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
