@@ -24,13 +24,13 @@ def _streak_event(above: Column, enter: int, leave: int):
 
 def hysteresis(df: DataFrame, keys: list[str], order: list[str], above: str, state: str = "alert_state",
                enter: int = ENTER_STREAK, leave: int = EXIT_STREAK, advances: str | None = None,
-               split_rows: int | None = None, sizes: tuple[int, int] | None = None) -> DataFrame:
+               known: str | None = None, split_rows: int | None = None, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Alert state per key after every reading.
 
     The two-state machine has a closed form: a run of `enter` readings above always ends in
     alerting and a run of `leave` below in normal, so the state is the latest such event.
     Rows whose `advances` flag is false neither extend nor break a run; they get the state of
-    the readings before them.
+    the readings before them. A state in `known` holds from that row on, whatever the runs say.
     """
     event = _streak_event(F.col(above), enter, leave)
     back = max(enter, leave) - 1
@@ -41,7 +41,8 @@ def hysteresis(df: DataFrame, keys: list[str], order: list[str], above: str, sta
         moving = Ordered(df.filter(F.col(advances)), keys, order, split_rows, sizes).within(back, _event=event).df
         waiting = df.filter(~F.col(advances)).withColumn("_event", F.lit(None).cast("string"))
         seq = Ordered(moving.unionByName(waiting), keys, order, split_rows, sizes)
-    seq.running(**{state: ("last", F.col("_event"))})
+    event_now = F.coalesce(known, "_event") if known else F.col("_event")
+    seq.running(**{state: ("last", event_now)})
     return seq.df.drop("_event").withColumn(state, F.coalesce(state, F.lit("normal")))
 
 

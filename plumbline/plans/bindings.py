@@ -129,12 +129,15 @@ def km(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
             f"cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)))))")
 
 
-def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+BATCH_US = 21_600_000_000
+
+
+def batches(spark: SparkSession, sf_dir: str, width_us: int = BATCH_US) -> DataFrame:
     """Submitted observations in six-hour batches, in a scrambled order that makes rows late."""
     e = events(spark, sf_dir)
     scrambled = F.pmod(F.col("event_id") * 7919, F.lit(10007))
     return e.withColumns({
-        "batch_seq": F.floor((F.col("time_us") + scrambled * 4_000_000) / F.lit(21_600_000_000)).cast("long"),
+        "batch_seq": F.floor((F.col("time_us") + scrambled * 4_000_000) / F.lit(width_us)).cast("long"),
         "position": scrambled * 10_000_000 + F.col("event_id"),
         # Readings rounded down to half a day repeat, so some of them are duplicates.
         "time_us": F.when(F.pmod("event_id", F.lit(5)) == 0,
