@@ -10,10 +10,10 @@ GRID = T.StructType([
 
 
 def read_daily(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """All daily files of a folder; the date comes from the file name."""
-    name = F.col("_metadata.file_name")
-    return spark.read.schema(GRID).option("header", True).option("pathGlobFilter", pattern).csv(folder).withColumn(
-        "date", F.to_date(F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2})", 1)))
+    """All daily files below a folder; the date is the last one in the path of the file."""
+    day = F.regexp_extract(F.col("_metadata.file_path"), r".*(\d{4}-\d{2}-\d{2})", 1)
+    return spark.read.schema(GRID).option("header", True).option("recursiveFileLookup", True).option(
+        "pathGlobFilter", pattern).csv(folder).withColumn("date", F.to_date(day))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
