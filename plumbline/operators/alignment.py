@@ -9,7 +9,7 @@ from .ordered import Ordered
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_us: str, right_us: str,
             tolerance_s: float, columns: list[str], left_tie: list[str],
-            split_rows: int | None = None) -> DataFrame:
+            split_rows: int | None = None, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Every left row with the `columns` of the right row nearest in time, if close enough.
 
     Both tables are stacked in time order; each left row sees the last right row before it and
@@ -25,7 +25,7 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_us: str, ri
                           found.alias("_right"))
     both = spine.unionByName(points, allowMissingColumns=True)
     order = ["_t", "_side", *[f"_tie{i}" for i in range(len(left_tie))]]
-    seq = Ordered(both, keys, order, split_rows)
+    seq = Ordered(both, keys, order, split_rows, sizes)
     seq.running(_before=("last", F.col("_right")))
     seq.running(reverse=True, _after=("last", F.col("_right")))
     gap_before = F.col("_t") - F.col("_before.at")

@@ -11,8 +11,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as C
+from ..functions.columns import INF
 from ..functions.geo import offset_metres
-from .ordered import Ordered, percentile_columns, percentiles, sized
+from ..session import split_rows as conf_split_rows
+from .ordered import Ordered, measure, percentile_columns, percentiles, sized
 
 
 @dataclass(frozen=True)
@@ -29,6 +31,24 @@ class Limits:
     trailing: int = C.TRAILING_ROWS
 
 
+@dataclass(frozen=True)
+class Sizes:
+    """Largest groups of the satellite rows, from one scan of their keys."""
+
+    track: tuple[int, int]
+    run: tuple[int, int]
+    epoch: tuple[int, int]
+
+    @classmethod
+    def of(cls, sat: DataFrame) -> "Sizes":
+        return cls(*measure(sat, TRACK, ["run_id"], EPOCH))
+
+
+TRACK, EPOCH = ["run_id", "satellite"], ["run_id", "time_us"]
+# Epochs up to this many rows are ranked inside one aggregate.
+LIST_ROWS = 10_000
+
+
 def _lag(column: str, rows: int = 1):
     return lambda w: F.lag(column, rows).over(w)
 
@@ -61,16 +81,16 @@ def position_deviation(nav: DataFrame, first_s: float = C.REFERENCE_FIX_S, split
     return nav.join(fixes, "run_id", "left").withColumn("pos_dev_m", dev).drop("ref_lat", "ref_lon", "ref_height")
 
 
-def _steps(sat: DataFrame, columns: list[str], split_rows) -> DataFrame:
+def _steps(sat: DataFrame, columns: list[str], split_rows, sizes: Sizes | None) -> DataFrame:
     """Satellite rows with the previous epoch's values and the time since then."""
-    seq = Ordered(sat, ["run_id", "satellite"], ["time_us", "src_idx"], split_rows)
+    seq = Ordered(sat, TRACK, ["time_us", "src_idx"], split_rows, sizes and sizes.track)
     seq.within(1, _us=_lag("time_us"), **{f"_p_{c}": _lag(c) for c in columns})
     return seq.df.withColumn("dt", (F.col("time_us") - F.col("_us")) / 1e6)
 
 
 def code_residuals(sat: DataFrame, limits: Limits = Limits(), split_rows=None) -> DataFrame:
     """Pseudorange rate against the rate the Doppler shift implies, per satellite."""
-    rows = _steps(sat, ["pseudorange"], split_rows)
+    rows = _steps(sat, ["pseudorange"], split_rows, None)
     rate = F.try_divide(F.col("pseudorange") - F.col("_p_pseudorange"), F.col("dt"))
     raw = rate + F.col("doppler") * F.lit(C.L1_WAVELENGTH_M)
     bad = (F.col("dt") <= 0) | (F.col("dt") > limits.max_gap_s) | (F.abs("_raw") > limits.code_residual)
@@ -96,69 +116,87 @@ def rf_epochs(rf: DataFrame) -> DataFrame:
         F.avg("noisePerMS_01").alias("noise_per_ms_mean"))
 
 
-def _trusted(rows: DataFrame, residual: str, limits: Limits, split_rows) -> DataFrame:
-    """Adds `trusted`: the recording's median absolute carrier residual is finite and small."""
+def trusted_runs(rows: DataFrame, residual: str, limits: Limits, split_rows, sizes: Sizes) -> DataFrame:
+    """Recordings with `trusted`: the median absolute carrier residual is finite and small."""
     absolute = rows.select("run_id", F.abs(residual).alias("_abs"))
-    median = percentiles(absolute, ["run_id"], "_abs", {"_median": 0.5}, split_rows)
-    ok = sized(median.select("run_id", F.coalesce(F.col("_median") <= limits.carrier_sanity,
-                                                  F.lit(False)).alias("trusted")))
-    return rows.join(ok, "run_id")
+    median = percentiles(absolute, ["run_id"], "_abs", {"_median": 0.5}, split_rows, sizes.run)
+    return sized(median.select("run_id", F.coalesce(F.col("_median") <= limits.carrier_sanity, F.lit(False)).alias("trusted")))
 
 
-def carrier_steps(sat: DataFrame, limits: Limits = Limits(), split_rows=None) -> DataFrame:
-    """Carrier-rate residual and code-minus-carrier step per satellite, blanked where implausible."""
+def _carrier_rows(sat: DataFrame, limits: Limits, split_rows, sizes: Sizes) -> DataFrame:
     rows = _steps(sat.withColumn("cmc", F.col("pseudorange") - F.lit(C.L1_WAVELENGTH_M) * F.col("carrier")),
-                  ["carrier", "cmc"], split_rows)
+                  ["carrier", "cmc"], split_rows, sizes)
     close = (F.col("dt") > 0) & (F.col("dt") <= limits.max_gap_s)
     resid = F.try_divide(F.col("carrier") - F.col("_p_carrier"), F.col("dt")) + F.col("doppler")
     rows = rows.withColumns({"_resid": F.when(close, resid),
                              "_step": F.when(close, F.abs(F.col("cmc") - F.col("_p_cmc")))})
-    rows = rows.withColumns({
-        "cp_doppler_resid": F.when(F.abs("_resid") <= limits.carrier_residual, F.col("_resid")),
-        "cmc_l1_step": F.when(F.col("_step") <= limits.cmc_step, F.col("_step"))})
-    rows = _trusted(rows, "cp_doppler_resid", limits, split_rows)
     return rows.withColumns({
-        "cp_doppler_resid": F.when(F.col("trusted"), F.col("cp_doppler_resid")),
-        "cmc_l1_step": F.when(F.col("trusted"), F.col("cmc_l1_step"))}).drop(
+        "cp_doppler_resid": F.when(F.abs("_resid") <= limits.carrier_residual, F.col("_resid")),
+        "cmc_l1_step": F.when(F.col("_step") <= limits.cmc_step, F.col("_step"))}).drop(
         "_us", "dt", "_p_carrier", "_p_cmc", "_resid", "_step")
 
 
+def carrier_steps(sat: DataFrame, limits: Limits = Limits(), split_rows=None) -> DataFrame:
+    """Carrier-rate residual and code-minus-carrier step per satellite, blanked where implausible."""
+    sizes = Sizes.of(sat)
+    rows = _carrier_rows(sat, limits, split_rows, sizes)
+    out = rows.join(trusted_runs(rows, "cp_doppler_resid", limits, split_rows, sizes), "run_id")
+    return out.withColumns({c: F.when(F.col("trusted"), F.col(c)) for c in ("cp_doppler_resid", "cmc_l1_step")})
+
+
+def _median_deviation(rows: DataFrame, split_rows, sizes: Sizes) -> DataFrame:
+    """Median distance from the epoch median, where epochs are too large for a list."""
+    medians = percentiles(rows, EPOCH, "doppler", {"_mid": 0.5}, split_rows, sizes.epoch)
+    away = rows.join(medians, EPOCH).withColumn("_away", F.abs(F.col("doppler") - F.col("_mid")))
+    return percentiles(away, EPOCH, "_away", {"sp_doppler_l1_mad": 0.5}, split_rows, sizes.epoch)
+
+
+def _list_median(values: Column) -> Column:
+    ordered = F.array_sort(values)
+    n = F.size(ordered)
+    low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
+    return F.when(n > 0, (F.get(ordered, low) + F.get(ordered, high)) / 2)
+
+
 def spoofing_epochs(sat: DataFrame, limits: Limits = Limits(), split_rows=None) -> DataFrame:
-    """Ten consistency features per epoch."""
-    rows = carrier_steps(sat, limits, split_rows).withColumns({
-        "snr": _valid_cn0("snr"), "snr_l2": _valid_cn0("snr_l2"),
-        "constellation": F.substring("satellite", 1, 1)})
-    medians = percentiles(rows, ["run_id", "time_us"], "doppler", {"_doppler_mid": 0.5}, split_rows)
-    rows = rows.join(medians, ["run_id", "time_us"]).withColumns({
+    """Ten consistency features per epoch.
+
+    Distrust of a recording blanks whole columns, so it is applied to the epochs, not to the rows.
+    """
+    sizes = Sizes.of(sat)
+    raw = sat.withColumns({"snr": _valid_cn0("snr"), "snr_l2": _valid_cn0("snr_l2")})
+    rows = _carrier_rows(raw, limits, split_rows, sizes).withColumns({
         "_l2": F.col("pseudorange_l2").isNotNull().cast("double"),
         "_cn0_gap": F.col("snr") - F.col("snr_l2"),
-        "_weak": (F.col("snr") < C.WEAK_CN0).cast("double"),
-        "_doppler_dev": F.abs(F.col("doppler") - F.col("_doppler_mid"))})
-    by_epoch = ["run_id", "time_us"]
-    main = rows.groupBy(*by_epoch).agg(
+        "_weak": (F.col("snr") < C.WEAK_CN0).cast("double")})
+    listed = sizes.epoch[0] <= min(LIST_ROWS, split_rows or conf_split_rows(sat.sparkSession))
+    main = rows.groupBy(*EPOCH).agg(
         F.stddev_samp("cp_doppler_resid").alias("sp_cp_doppler_resid_std"),
         F.max(F.abs("cp_doppler_resid")).alias("sp_cp_doppler_resid_maxabs"),
         F.stddev_samp("cmc_l1_step").alias("sp_cmc_l1_step_std"),
         F.max("cmc_l1_step").alias("sp_cmc_l1_step_maxabs"),
         F.avg("_l2").alias("sp_frac_l2_tracked"),
         F.avg("_cn0_gap").alias("sp_cn0_l1_minus_l2_mean"),
-        F.avg("_weak").alias("sp_frac_low_cn0"))
-    mad = percentiles(rows, by_epoch, "_doppler_dev", {"sp_doppler_l1_mad": 0.5}, split_rows)
-    per_const = rows.groupBy(*by_epoch, "constellation").agg(F.avg("snr").alias("_mean"))
-    spread = per_const.groupBy(*by_epoch).agg(
+        F.avg("_weak").alias("sp_frac_low_cn0"),
+        *([F.collect_list("doppler").alias("_dopplers")] if listed else []))
+    if listed:
+        main = main.withColumn("_mid", _list_median(F.col("_dopplers"))).withColumn(
+            "sp_doppler_l1_mad", _list_median(F.transform("_dopplers", lambda d: F.abs(d - F.col("_mid"))))).drop(
+            "_dopplers", "_mid")
+    else:
+        main = main.join(_median_deviation(raw.select(*EPOCH, "doppler"), split_rows, sizes), EPOCH)
+    per_const = raw.groupBy(*EPOCH, F.substring("satellite", 1, 1).alias("constellation")).agg(F.avg("snr").alias("_mean"))
+    spread = per_const.groupBy(*EPOCH).agg(
         F.count("constellation").alias("sp_n_const"),
         F.when(F.count("_mean") >= 2, F.max("_mean") - F.min("_mean")).alias("sp_xconst_cn0_spread"))
-    return main.join(mad, by_epoch).join(spread, by_epoch)
-
+    out = main.join(spread, EPOCH).join(trusted_runs(rows, "cp_doppler_resid", limits, split_rows, sizes), "run_id")
+    doubtful = [c for c in main.columns if c.startswith(("sp_cp_", "sp_cmc_"))]
+    return out.withColumns({c: F.when(F.col("trusted"), F.col(c)) for c in doubtful}).drop("trusted")
 
-def arcs(sat: DataFrame, limits: Limits = Limits(), split_rows=None) -> DataFrame:
-    """Continuous tracking arcs per satellite: a gap or a cycle slip opens a new one.
 
-    Adds arc number, position in the arc, trailing code-minus-carrier slope (per row) and the
-    trailing spread of the Doppler second difference. The two wait until their window fits the arc.
-    """
+def _arc_rows(sat: DataFrame, limits: Limits, split_rows, sizes: Sizes) -> DataFrame:
     kept = sat.na.drop(subset=["time_us", "satellite", "pseudorange", "carrier", "doppler"])
-    seq = Ordered(kept, ["run_id", "satellite"], ["time_us", "src_idx"], split_rows)
+    seq = Ordered(kept, TRACK, ["time_us", "src_idx"], split_rows, sizes.track)
     seq.within(2, _us=_lag("time_us"), _p_carrier=_lag("carrier"),
                _d1=_lag("doppler"), _d2=_lag("doppler", 2))
     seq.map(lambda d: d.withColumn("dt", (F.col("time_us") - F.col("_us")) / 1e6))
@@ -178,25 +216,53 @@ def arcs(sat: DataFrame, limits: Limits = Limits(), split_rows=None) -> DataFram
         rows - 1,
         _slope=lambda w: F.abs(F.regr_slope(F.col("cmc"), F.col("p").cast("double")).over(w.rowsBetween(1 - rows, 0))),
         _curv=lambda w: F.stddev_samp("_bend").over(w.rowsBetween(1 - rows, 0)))
-    out = _trusted(seq.df, "_resid", limits, split_rows)
-    return out.withColumns({
-        "cmc_slope_abs": F.when(F.col("trusted") & (F.col("p") >= rows - 1), F.col("_slope")),
+    return seq.df.withColumns({
+        "cmc_slope_abs": F.when(F.col("p") >= rows - 1, F.col("_slope")),
         "dop_curv": F.when(F.col("p") >= rows + 1, F.col("_curv"))}).drop(
-        "_us", "_p_carrier", "_d1", "_d2", "_resid", "_n", "_from", "_bend", "_slope", "_curv")
+        "_us", "_p_carrier", "_d1", "_d2", "_n", "_from", "_bend", "_slope", "_curv")
+
+
+def _trusted_arcs(sat: DataFrame, limits: Limits, split_rows, sizes: Sizes) -> DataFrame:
+    """The arc test looks at the residual before it is blanked, so its own trust differs from that of the carrier steps."""
+    kept = sat.na.drop(subset=["time_us", "satellite", "pseudorange", "carrier", "doppler"])
+    rows = _steps(kept, ["carrier"], split_rows, sizes)
+    step = F.col("carrier") - F.col("_p_carrier")
+    # Two rows of one instant with different phases have an infinite rate, which counts in this median.
+    rate = F.when(F.col("dt") == 0, F.when(step != 0, F.lit(INF))).otherwise(F.try_divide(step, F.col("dt")))
+    raw = rate + F.col("doppler")
+    return trusted_runs(rows.select("run_id", raw.alias("_raw")), "_raw", limits, split_rows, sizes)
+
+
+def arcs(sat: DataFrame, limits: Limits = Limits(), split_rows=None) -> DataFrame:
+    """Continuous tracking arcs per satellite: a gap or a cycle slip opens a new one.
+
+    Adds arc number, position in the arc, trailing code-minus-carrier slope (per row) and the
+    trailing spread of the Doppler second difference. The two wait until their window fits the arc.
+    """
+    sizes = Sizes.of(sat)
+    out = _arc_rows(sat, limits, split_rows, sizes).drop("_resid").join(
+        _trusted_arcs(sat, limits, split_rows, sizes), "run_id")
+    return out.withColumn("cmc_slope_abs", F.when(F.col("trusted"), F.col("cmc_slope_abs")))
 
 
 def temporal_epochs(sat: DataFrame, limits: Limits = Limits(), split_rows=None) -> DataFrame:
     """Five arc features per epoch; the high share counts rows without a slope in its base."""
-    rows = arcs(sat, limits, split_rows)
-    by_epoch = ["run_id", "time_us"]
-    main = rows.groupBy(*by_epoch).agg(
+    sizes = Sizes.of(sat)
+    rows = _arc_rows(sat, limits, split_rows, sizes)
+    plain = [
         F.max("cmc_slope_abs").alias("sp_cmc_slope_max"),
         F.when(F.count("cmc_slope_abs") > 0,
                F.count_if(F.col("cmc_slope_abs") > C.SLOPE_HIGH) / F.count(F.lit(1))).alias("sp_cmc_slope_frac_hi"),
-        F.max("dop_curv").alias("sp_dop_smooth_max"))
-    mids = percentile_columns(rows, by_epoch, {
-        "sp_cmc_slope_p50": ("cmc_slope_abs", 0.5), "sp_dop_smooth_p50": ("dop_curv", 0.5)}, split_rows)
-    return main.join(mids, by_epoch)
+        F.max("dop_curv").alias("sp_dop_smooth_max")]
+    mids = {"sp_cmc_slope_p50": ("cmc_slope_abs", 0.5), "sp_dop_smooth_p50": ("dop_curv", 0.5)}
+    if sizes.epoch[0] <= (split_rows or conf_split_rows(sat.sparkSession)):
+        epochs = rows.groupBy(*EPOCH).agg(*plain, *[F.percentile(c, F.lit(q)).alias(n) for n, (c, q) in mids.items()])
+    else:
+        epochs = rows.groupBy(*EPOCH).agg(*plain).join(
+            percentile_columns(rows, EPOCH, mids, split_rows, sizes.epoch), EPOCH)
+    out = epochs.join(_trusted_arcs(sat, limits, split_rows, sizes), "run_id")
+    doubtful = [c for c in epochs.columns if c.startswith("sp_cmc_")]
+    return out.withColumns({c: F.when(F.col("trusted"), F.col(c)) for c in doubtful}).drop("trusted")
 
 
 def causal_spread(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,

@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, functions as F
 from ..constants import INCIDENT_KM, WINDOW_S
 from ..functions.geo import haversine_km
 from ..session import cut
-from .ordered import Ordered, sized
+from .ordered import Ordered, group_sizes, sized
 
 
 def chain(flagged: DataFrame, window_s: float = WINDOW_S, reach_km: float = INCIDENT_KM, time_us: str = "time_us",
-          event_id: str = "event_id", split_rows: int | None = None) -> DataFrame:
+          event_id: str = "event_id", split_rows: int | None = None,
+          sizes: tuple[int, int] | None = None) -> DataFrame:
     """Number the incidents of flagged events (`incident`, in time order over all sites).
 
     An event joins the incident of the event before it when the gap is short, the sites are the
@@ -21,7 +22,8 @@ def chain(flagged: DataFrame, window_s: float = WINDOW_S, reach_km: float = INCI
     def before(column):
         return lambda w: F.lag(column).over(w)
 
-    seq = Ordered(flagged, [], [time_us, event_id], split_rows)
+    sizes = sizes or group_sizes(flagged, [])
+    seq = Ordered(flagged, [], [time_us, event_id], split_rows, sizes)
     seq.within(1, _us=before(time_us), _site=before("site"), _lat=before("lat"), _lon=before("lon"))
     c = F.col
     close = F.coalesce(c("site") == c("_site"), F.lit(False)) | F.coalesce(
@@ -43,7 +45,7 @@ def chain(flagged: DataFrame, window_s: float = WINDOW_S, reach_km: float = INCI
     if splits is not None:
         marked = marked.join(splits.select("_pos", F.lit(1).alias("_split")), "_pos", "left").withColumn(
             "_break", F.greatest("_break", F.coalesce("_split", F.lit(0)))).drop("_split")
-    out = Ordered(marked, [], [time_us, event_id], split_rows).running(incident=("sum", c("_break"))).df
+    out = Ordered(marked, [], [time_us, event_id], split_rows, sizes).running(incident=("sum", c("_break"))).df
     return out.drop("_break", "_coarse", "_pos", "_against")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..constants import ALPHA, MIN_SITES, PERMUTATIONS
 from ..functions.columns import ratio
 from ..session import cut
-from .ordered import Ordered, sized
+from .ordered import Ordered, group_sizes, sized
 
 # Up to this many sites every position takes part in a draw; beyond it positions are drawn.
 ALL_POSITIONS = 4096
@@ -112,7 +112,7 @@ def local_moran(values: DataFrame, edges: DataFrame, rounds: int = PERMUTATIONS,
     that description, rounds times degree, leaves Spark. A site without neighbours has no p.
     """
     rows = lagged(values, edges, None, value)
-    numbered = cut(Ordered(rows, [], ["site"], split_rows).number("_at").df.withColumn("_at", F.col("_at") - 1))
+    numbered = cut(Ordered(rows, [], ["site"], split_rows, group_sizes(values, [])).number("_at").df.withColumn("_at", F.col("_at") - 1))
     facts = numbered.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("z") * F.col("z")).alias("square"),
                          F.max("degree").alias("most")).first()
     n, square, most = facts["n"], facts["square"], facts["most"]

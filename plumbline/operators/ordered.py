@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut, split_rows as conf_split_rows
 
-CHUNK = "_chunk"
+CHUNK = "_seq_at"
 
 
 def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
@@ -32,9 +32,20 @@ def group_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
     return int(row["top"] or 0), int(row["total"] or 0)
 
 
+def measure(df: DataFrame, *key_sets: list[str]) -> list[tuple[int, int]]:
+    """`group_sizes` for several keys from one scan."""
+    columns = sorted({k for keys in key_sets for k in keys})
+    counts = df.groupingSets(key_sets, *columns).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
+    found = {r["g"]: (int(r["top"]), int(r["total"])) for r in counts.groupBy("g").agg(
+        F.max("n").alias("top"), F.sum("n").alias("total")).collect()}
+    last = len(columns) - 1
+    ids = [sum(1 << (last - i) for i, c in enumerate(columns) if c not in keys) for keys in key_sets]
+    return [found.get(g, (0, 0)) for g in ids]
+
+
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    tests = [left[k].eqNullSafe(right[f"_k_{k}"]) for k in keys]
-    return reduce(lambda a, b: a & b, tests, left[CHUNK] == right["_k_chunk"])
+    tests = [left[k].eqNullSafe(right[f"_seq_k_{k}"]) for k in keys]
+    return reduce(lambda a, b: a & b, tests, left[CHUNK] == right["_seq_chunk"])
 
 
 class Ordered:
@@ -76,11 +87,11 @@ class Ordered:
             return self
         self._settle()
         w = Window.partitionBy(*self.keys, CHUNK).orderBy(*self.order)
-        rows = self._rows.withColumn("_borrowed", F.lit(False))
-        lent = self._tails(before).withColumn("_borrowed", F.lit(True))
+        rows = self._rows.withColumn("_seq_lent", F.lit(False))
+        lent = self._tails(before).withColumn("_seq_lent", F.lit(True))
         both = rows.unionByName(lent)
         self._rows = (both.withColumns({n: f(w) for n, f in columns.items()})
-                      .filter(~F.col("_borrowed")).drop("_borrowed"))
+                      .filter(~F.col("_seq_lent")).drop("_seq_lent"))
         self._pending = True
         return self
 
@@ -103,9 +114,9 @@ class Ordered:
              .rowsBetween(Window.unboundedPreceding, end))
         carry = self._carry(columns, reverse)
         local = self._rows.withColumns(
-            {f"_l_{n}": _accumulate(how, e).over(w) for n, (how, e) in columns.items()})
+            {f"_seq_l_{n}": _accumulate(how, e).over(w) for n, (how, e) in columns.items()})
         joined = local.join(F.broadcast(carry), same_keys(local, carry, self.keys), "left")
-        out = joined.withColumns({n: _combine(how, F.col(f"_l_{n}"), F.col(f"_c_{n}"))
+        out = joined.withColumns({n: _combine(how, F.col(f"_seq_l_{n}"), F.col(f"_seq_c_{n}"))
                                   for n, (how, _) in columns.items()})
         self._rows = out.select(*self._rows.columns, *columns)
         self._pending = True
@@ -123,12 +134,12 @@ class Ordered:
         ranged = self._rows.repartitionByRange(parts, *self.keys, *self.order)
         self._rows = cut(ranged.withColumn(CHUNK, F.spark_partition_id()))
         per_key = Window.partitionBy(*self.keys)
-        sizes = (self._rows.groupBy(*self.keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
-                 .withColumn("_parts", F.count(F.lit(1)).over(per_key)).filter("_parts > 1"))
+        sizes = (self._rows.groupBy(*self.keys, CHUNK).agg(F.count(F.lit(1)).alias("_seq_n"))
+                 .withColumn("_seq_parts", F.count(F.lit(1)).over(per_key)).filter("_seq_parts > 1"))
         before = per_key.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-        self._spans = cut(sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-                          .select(*[F.col(k).alias(f"_k_{k}") for k in self.keys],
-                                  F.col(CHUNK).alias("_k_chunk"), "_n", "_start"))
+        self._spans = cut(sizes.withColumn("_seq_start", F.coalesce(F.sum("_seq_n").over(before), F.lit(0)))
+                          .select(*[F.col(k).alias(f"_seq_k_{k}") for k in self.keys],
+                                  F.col(CHUNK).alias("_seq_chunk"), "_seq_n", "_seq_start"))
 
     def _settle(self) -> None:
         """Keep the cost of a chain linear: each step reads its input twice."""
@@ -141,30 +152,30 @@ class Ordered:
 
     def _tails(self, before: int) -> DataFrame:
         """Last rows of every chunk, addressed to the later chunks that look back on them."""
-        later = (Window.partitionBy(*[f"_k_{k}" for k in self.keys]).orderBy("_k_chunk")
+        later = (Window.partitionBy(*[f"_seq_k_{k}" for k in self.keys]).orderBy("_seq_chunk")
                  .rowsBetween(1, before))
-        reach = self._spans.withColumn("_next", F.collect_list(F.struct("_k_chunk", "_start")).over(later))
+        reach = self._spans.withColumn("_seq_next", F.collect_list(F.struct("_seq_chunk", "_seq_start")).over(later))
         w = Window.partitionBy(*self.keys, CHUNK).orderBy(*self._sorting(self.order, True))
-        last = self._rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= before)
+        last = self._rows.withColumn("_seq_r", F.row_number().over(w)).filter(F.col("_seq_r") <= before)
         placed = last.join(F.broadcast(reach), same_keys(last, reach, self.keys))
-        position = F.col("_start") + F.col("_n") - F.col("_r")
-        near = F.filter("_next", lambda c: c["_start"] - position <= before)
-        sent = placed.withColumn("_to", F.explode(near))
+        position = F.col("_seq_start") + F.col("_seq_n") - F.col("_seq_r")
+        near = F.filter("_seq_next", lambda c: c["_seq_start"] - position <= before)
+        sent = placed.withColumn("_seq_to", F.explode(near))
         kept = [c for c in self._rows.columns if c != CHUNK]
-        return sent.select(*kept, F.col("_to._k_chunk").alias(CHUNK))
+        return sent.select(*kept, F.col("_seq_to._seq_chunk").alias(CHUNK))
 
     def _carry(self, columns: dict, reverse: bool) -> DataFrame:
         rows = self._rows
         crossing = rows.join(F.broadcast(self._spans), same_keys(rows, self._spans, self.keys), "left_semi")
         place = F.struct(*self.order)
         totals = crossing.groupBy(*self.keys, CHUNK).agg(
-            *[_total(how, e, place, reverse).alias(f"_t_{n}") for n, (how, e) in columns.items()])
+            *[_total(how, e, place, reverse).alias(f"_seq_t_{n}") for n, (how, e) in columns.items()])
         w = (Window.partitionBy(*self.keys).orderBy(*self._sorting([CHUNK], reverse))
              .rowsBetween(Window.unboundedPreceding, -1))
-        summed = totals.withColumns({f"_c_{n}": _accumulate(how, F.col(f"_t_{n}")).over(w)
+        summed = totals.withColumns({f"_seq_c_{n}": _accumulate(how, F.col(f"_seq_t_{n}")).over(w)
                                      for n, (how, _) in columns.items()})
-        return summed.select(*[F.col(k).alias(f"_k_{k}") for k in self.keys],
-                             F.col(CHUNK).alias("_k_chunk"), *[f"_c_{n}" for n in columns])
+        return summed.select(*[F.col(k).alias(f"_seq_k_{k}") for k in self.keys],
+                             F.col(CHUNK).alias("_seq_chunk"), *[f"_seq_c_{n}" for n in columns])
 
 
 def _accumulate(how: str, value: Column) -> Column:
@@ -189,7 +200,7 @@ def _combine(how: str, local: Column, carried: Column) -> Column:
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float],
-                split_rows: int | None = None) -> DataFrame:
+                split_rows: int | None = None, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Exact percentiles with linear interpolation, per key; NULL for a key without values.
 
     The built-in aggregate keeps all distinct values of a group in one buffer, so it is used only
@@ -198,17 +209,17 @@ def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, fl
     """
     limit = split_rows or conf_split_rows(df.sparkSession)
     narrow = df.select(*keys, value)
-    if group_sizes(narrow, keys)[0] <= limit:
+    if (sizes or group_sizes(narrow, keys))[0] <= limit:
         picks = [F.percentile(value, F.lit(q)).alias(n) for n, q in wanted.items()]
         return narrow.groupBy(*keys).agg(*picks)
     if not keys:
-        one = percentiles(narrow.withColumn("_all", F.lit(1)), ["_all"], value, wanted, limit)
+        one = percentiles(narrow.withColumn("_all", F.lit(1)), ["_all"], value, wanted, limit, sizes)
         return one.drop("_all")
     counted = (narrow.filter(F.col(value).isNotNull()).groupBy(*keys, value)
                .agg(F.count(F.lit(1)).alias("_c")))
     cumulative = Ordered(counted, keys, [value], limit).running(_upto=("sum", F.col("_c"))).df
     sizes = narrow.groupBy(*keys).agg(F.count(value).alias("_total"))
-    named = sized(sizes.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_total"))
+    named = sized(sizes.select(*[F.col(k).alias(f"_seq_k_{k}") for k in keys], "_total"))
     ranked = cumulative.join(named, _match(cumulative, named, keys))
     picks = []
     for n, q in wanted.items():
@@ -216,32 +227,33 @@ def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, fl
         low, high = [F.max(F.when((F.col("_upto") - F.col("_c") <= r) & (r < F.col("_upto")), F.col(value)))
                      for r in (F.floor(rank), F.ceil(rank))]
         picks.append((low + (high - low) * F.max(rank - F.floor(rank))).alias(n))
-    found = ranked.groupBy(*[F.col(f"_k_{k}") for k in keys]).agg(*picks)
+    found = ranked.groupBy(*[F.col(f"_seq_k_{k}") for k in keys]).agg(*picks)
     return sizes.join(found, _match(sizes, found, keys), "left").select(*keys, *wanted)
 
 
 def _match(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_k_{k}"]) for k in keys])
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_seq_k_{k}"]) for k in keys])
 
 
 def percentile_columns(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]],
-                       split_rows: int | None = None) -> DataFrame:
+                       split_rows: int | None = None, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Exact percentiles of several columns: {output: (column, fraction)}, one row per key."""
     limit = split_rows or conf_split_rows(df.sparkSession)
-    if group_sizes(df.select(*keys), keys)[0] <= limit:
+    sizes = sizes or group_sizes(df.select(*keys), keys)
+    if sizes[0] <= limit:
         picks = [F.percentile(c, F.lit(q)).alias(n) for n, (c, q) in wanted.items()]
         return df.groupBy(*keys).agg(*picks)
     columns: dict[str, dict[str, float]] = {}
     for n, (c, q) in wanted.items():
         columns.setdefault(c, {})[n] = q
-    parts = [percentiles(df.withColumn("_one", F.lit(1)), keys or ["_one"], c, qs, limit)
+    parts = [percentiles(df.withColumn("_one", F.lit(1)), keys or ["_one"], c, qs, limit, sizes)
              for c, qs in columns.items()]
     out = parts[0]
     for part in parts[1:]:
-        renamed = part.select(*[F.col(k).alias(f"_k_{k}") for k in keys or ["_one"]],
+        renamed = part.select(*[F.col(k).alias(f"_seq_k_{k}") for k in keys or ["_one"]],
                               *[c for c in part.columns if c in wanted])
         out = out.join(renamed, _match(out, renamed, keys or ["_one"])).drop(
-            *[f"_k_{k}" for k in keys or ["_one"]])
+            *[f"_seq_k_{k}" for k in keys or ["_one"]])
     return out.drop("_one")
 
 

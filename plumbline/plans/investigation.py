@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fx
 from ..operators import correlate, feedback, incidents, neighbours, priority, profile
-from ..operators.ordered import Ordered, sized
+from ..operators.ordered import Ordered, group_sizes, sized
 from . import alerting, bindings as B
 from .registry import query
 
@@ -241,7 +241,8 @@ CHAIN = SCORED + f""", g0 AS (
 
 
 def chained(spark, sf_dir):
-    return incidents.chain(flagged(spark, sf_dir), window_s=900, reach_km=60.0)
+    every = group_sizes(B.events(spark, sf_dir), [])
+    return incidents.chain(flagged(spark, sf_dir), window_s=900, reach_km=60.0, sizes=every)
 
 
 @query("w18_incident_chain", CHAIN + " SELECT event_id, incident FROM ch")

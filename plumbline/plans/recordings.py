@@ -134,7 +134,7 @@ ARCS = f"""a0 AS (
          pseudorange - {WAVE} * carrier AS cmc, doppler - 2 * lag(doppler) OVER w + lag(doppler, 2) OVER w AS bend
   FROM sat WINDOW w AS ({SV})), a1 AS (
   SELECT *, CASE WHEN dt <> 0 THEN dphase / dt END + doppler AS resid FROM a0), aok AS (
-  SELECT run_id, coalesce(median(abs(resid)) <= 34, false) AS trusted FROM a1 GROUP BY run_id), a2 AS (
+  SELECT run_id, coalesce(median(abs(CASE WHEN dt = 0 AND dphase <> 0 THEN 'infinity'::DOUBLE ELSE resid END)) <= 34, false) AS trusted FROM a1 GROUP BY run_id), a2 AS (
   SELECT *, CASE WHEN dt IS NULL OR dt > 120 OR coalesce(abs(resid) * dt > 6000, false) THEN 1 ELSE 0 END AS slip FROM a1), a3 AS (
   SELECT *, CAST(sum(slip) OVER ({SV} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS arc FROM a2), a4 AS (
   SELECT *, row_number() OVER (PARTITION BY run_id, satellite, arc ORDER BY time_us, src_idx) - 1 AS p FROM a3), a5 AS (

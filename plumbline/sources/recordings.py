@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..constants import LOCAL_OFFSET_HOURS
 from ..functions.columns import micros, nan_to_null, nullif_empty
 from ..operators import alignment, features
-from ..operators.ordered import sized
+from ..operators.ordered import group_sizes, sized
+from ..session import cut
 
 NAV_FILE, SATELLITE_FILE, RF_FILE, SCENARIO_FILE = "nav_pvt.csv", "rinex.csv", "mon_rf.csv", "scenario.json"
 NAV_COLUMNS = ("iTOW", "fixType", "gSpeed", "hAcc", "vAcc", "sAcc", "headAcc", "pDOP", "numSV", "lat", "lon",
@@ -85,8 +86,9 @@ def read_rf(spark: SparkSession, root: str) -> DataFrame:
 
 def read_scenarios(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Readable scenario documents, and the unreadable ones."""
-    raw = spark.read.schema(SCENARIO).option("multiLine", True).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", SCENARIO_FILE).json(root).withColumn("run_id", _run_id(root))
+    # Stored once: the reader refuses queries that need nothing but the mark of a broken document.
+    raw = cut(spark.read.schema(SCENARIO).option("multiLine", True).option("recursiveFileLookup", True).option(
+        "pathGlobFilter", SCENARIO_FILE).json(root).withColumn("run_id", _run_id(root)))
     return raw.filter("_corrupt_record IS NULL").drop("_corrupt_record"), raw.filter("_corrupt_record IS NOT NULL")
 
 
@@ -111,12 +113,16 @@ def feature_table(nav: DataFrame, satellites: DataFrame, rf: DataFrame, windows:
                   facts: DataFrame | None = None, limits: features.Limits = features.Limits(),
                   tolerance_s: float = TOLERANCE_S, split_rows=None) -> DataFrame:
     """One labelled row per navigation epoch with all base features."""
+    epochs = nav.select("run_id").unionByName(satellites.select("run_id", "time_us").unionByName(
+        rf.select("run_id", "time_us")).distinct().select("run_id"))
+    sizes = group_sizes(epochs, ["run_id"])
     spine = features.position_deviation(features.clock_drift(nav, split_rows=split_rows), split_rows=split_rows)
     sat = features.code_epochs(features.code_residuals(satellites, limits, split_rows)).withColumnRenamed("time_us", "_sat_us")
     monitor = features.rf_epochs(rf).withColumnRenamed("time_us", "_rf_us")
     for right, at in ((sat, "_sat_us"), (monitor, "_rf_us")):
         columns = [c for c in right.columns if c not in ("run_id", at)]
-        spine = alignment.nearest(spine, right, ["run_id"], "time_us", at, tolerance_s, columns, ["src_idx"], split_rows)
+        spine = alignment.nearest(spine, right, ["run_id"], "time_us", at, tolerance_s, columns, ["src_idx"],
+                                  split_rows, sizes)
     labelled = alignment.covered(spine, windows, ["run_id"], "time_us", "window_start", "window_end", split_rows=split_rows)
     out = labelled.join(sized(alignment.window_facts(nav, windows, ["run_id"], "time_us")), "run_id", "left")
     return out if facts is None else out.join(sized(facts), "run_id", "left")
