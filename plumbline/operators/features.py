@@ -14,7 +14,7 @@ from .. import constants as C
 from ..functions.columns import INF
 from ..functions.geo import offset_metres
 from ..session import split_rows as conf_split_rows
-from .ordered import Ordered, measure, percentile_columns, percentiles, sized
+from .ordered import Ordered, measure, percentile_columns, percentiles, settled
 
 
 @dataclass(frozen=True)
@@ -75,7 +75,7 @@ def reference_fix(nav: DataFrame, first_s: float = C.REFERENCE_FIX_S, split_rows
 
 
 def position_deviation(nav: DataFrame, first_s: float = C.REFERENCE_FIX_S, split_rows=None) -> DataFrame:
-    fixes = sized(reference_fix(nav, first_s, split_rows))
+    fixes = settled(reference_fix(nav, first_s, split_rows))
     c = F.col
     dev = offset_metres(c("lat"), c("lon"), c("height"), c("ref_lat"), c("ref_lon"), c("ref_height"))
     return nav.join(fixes, "run_id", "left").withColumn("pos_dev_m", dev).drop("ref_lat", "ref_lon", "ref_height")
@@ -120,7 +120,7 @@ def trusted_runs(rows: DataFrame, residual: str, limits: Limits, split_rows, siz
     """Recordings with `trusted`: the median absolute carrier residual is finite and small."""
     absolute = rows.select("run_id", F.abs(residual).alias("_abs"))
     median = percentiles(absolute, ["run_id"], "_abs", {"_median": 0.5}, split_rows, sizes.run)
-    return sized(median.select("run_id", F.coalesce(F.col("_median") <= limits.carrier_sanity, F.lit(False)).alias("trusted")))
+    return settled(median.select("run_id", F.coalesce(F.col("_median") <= limits.carrier_sanity, F.lit(False)).alias("trusted")))
 
 
 def _carrier_rows(sat: DataFrame, limits: Limits, split_rows, sizes: Sizes) -> DataFrame:
@@ -284,7 +284,7 @@ def causal_deviation(df: DataFrame, keys: list[str], order: list[str], value: st
 def session_deviation(df: DataFrame, keys: list[str], value: str, out: str, split_rows=None) -> DataFrame:
     """Distance from the median of the whole recording."""
     mids = percentiles(df, keys, value, {"_mid": 0.5}, split_rows)
-    return df.join(sized(mids), keys).withColumn(out, F.col(value) - F.col("_mid")).drop("_mid")
+    return df.join(settled(mids), keys).withColumn(out, F.col(value) - F.col("_mid")).drop("_mid")
 
 
 def gap_runs(df: DataFrame, keys: list[str], time_us: str, tie: list[str], gap_s: float,

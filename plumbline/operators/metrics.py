@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import ratio
-from .ordered import Ordered, percentile_columns, percentiles, sized
+from .ordered import Ordered, percentile_columns, percentiles
 
 
 def confusion(df: DataFrame, truth: str = "truth", predicted: str = "predicted", by: list[str] | None = None) -> DataFrame:
@@ -162,7 +162,7 @@ def cohorts(df: DataFrame, cohort: Column, features: list[str], split_rows=None)
     long = to_long(df.withColumn("cohort", cohort).filter(F.col("cohort").isNotNull()), features, ["cohort"])
     means = long.groupBy("cohort", "feature").agg(F.avg("value").alias("mean"))
     mids = percentiles(long, ["cohort", "feature"], "value", {"median": 0.5}, split_rows)
-    return means.join(sized(mids), ["cohort", "feature"])
+    return means.join(mids, ["cohort", "feature"])
 
 
 def recall_at(df: DataFrame, run: str, thresholds: list[float], truth: str = "truth",

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..constants import ALPHA, MIN_SITES, PERMUTATIONS
 from ..functions.columns import ratio
 from ..session import cut
-from .ordered import Ordered, group_sizes, sized
+from .ordered import Ordered, group_sizes
 
 # Up to this many sites every position takes part in a draw; beyond it positions are drawn.
 ALL_POSITIONS = 4096
@@ -23,7 +23,7 @@ def _with_one(df: DataFrame, row: DataFrame) -> DataFrame:
 def centred(values: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     """Deviations `z` from the mean, per group if `by` is given."""
     mean = values.groupBy(*by).agg(F.avg(value).alias("_mean"))
-    joined = values.join(sized(mean), by) if by else _with_one(values, mean)
+    joined = values.join(mean, by) if by else _with_one(values, mean)
     return joined.withColumn("z", F.col(value) - F.col("_mean")).drop("_mean")
 
 

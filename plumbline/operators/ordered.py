@@ -20,7 +20,7 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import cut, split_rows as conf_split_rows
+from ..session import broadcast_rows, cut, split_rows as conf_split_rows
 
 CHUNK = "_seq_at"
 
@@ -219,7 +219,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, fl
                .agg(F.count(F.lit(1)).alias("_c")))
     cumulative = Ordered(counted, keys, [value], limit).running(_upto=("sum", F.col("_c"))).df
     sizes = narrow.groupBy(*keys).agg(F.count(value).alias("_total"))
-    named = sized(sizes.select(*[F.col(k).alias(f"_seq_k_{k}") for k in keys], "_total"))
+    named = sizes.select(*[F.col(k).alias(f"_seq_k_{k}") for k in keys], "_total")
     ranked = cumulative.join(named, _match(cumulative, named, keys))
     picks = []
     for n, q in wanted.items():
@@ -257,7 +257,15 @@ def percentile_columns(df: DataFrame, keys: list[str], wanted: dict[str, tuple[s
     return out.drop("_one")
 
 
-def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Broadcast hint for a table whose row count was checked; larger tables are left to shuffle."""
-    limit = rows or int(df.sparkSession.conf.get("spark.plumbline.broadcastRows", "200000"))
-    return F.broadcast(df) if len(df.select(F.lit(1)).limit(limit + 1).take(limit + 1)) <= limit else df
+def sized(df: DataFrame) -> DataFrame:
+    """Broadcast hint for a table whose row count was checked; a larger one is left to shuffle.
+
+    Meant for tables that are cheap to count; a derived one goes through `settled` first.
+    """
+    limit = broadcast_rows(df.sparkSession)
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A small derived table, computed once, with the hint of `sized`."""
+    return sized(cut(df))

@@ -1,4 +1,7 @@
-"""Baseline profile of features, plausibility warnings and drift."""
+"""Baseline profile of features, plausibility warnings and drift.
+
+Tables with one row per feature are broadcast: the caller lists the features, so they are few.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as C
 from ..functions.columns import INF, finite, ratio
-from .ordered import percentiles, sized
+from .ordered import percentiles
 
 
 def to_long(df: DataFrame, features: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -36,19 +39,19 @@ def baseline(df: DataFrame, features: list[str], non_negative=C.NON_NEGATIVE, ma
     low = c("p001") - span
     clamped = c("feature").isin(*non_negative) & (low < 0) if non_negative else F.lit(False)
     edges = F.array_distinct(F.array(*quantiles))
-    shaped = stats.join(sized(marks), "feature").withColumns({
+    shaped = stats.join(F.broadcast(marks), "feature").withColumns({
         "bound_low": F.when(clamped, F.lit(0.0)).otherwise(low), "bound_high": c("p999") + span,
         "bound_low_clamped_to_zero": clamped, "psi_degenerate": F.size(edges) < 3,
         "psi_edges": F.when(F.size(edges) < 3, F.array().cast("array<double>")).otherwise(
             F.slice(edges, F.lit(2), F.size(edges) - 2))}).drop(*quantiles)
     usable = shaped.filter(~c("psi_degenerate")).select("feature", "psi_edges", c("n").alias("_n"))
-    counts = long.filter(c("value").isNotNull()).join(sized(usable), "feature").groupBy("feature", "_n", bin_of(
+    counts = long.filter(c("value").isNotNull()).join(F.broadcast(usable), "feature").groupBy("feature", "_n", bin_of(
         c("psi_edges"), c("value")).alias("bin")).agg(F.count(F.lit(1)).alias("_c"))
     shares = counts.groupBy("feature").agg(F.map_from_entries(F.collect_list(
         F.struct("bin", (c("_c") / c("_n")).alias("share")))).alias("_m"))
     size = F.size("psi_edges")
     dense = F.transform(F.sequence(F.lit(0), size), lambda i: F.coalesce(F.try_element_at(c("_m"), i), F.lit(0.0)))
-    return shaped.join(sized(shares), "feature", "left").withColumn("psi_proportions", F.when(
+    return shaped.join(F.broadcast(shares), "feature", "left").withColumn("psi_proportions", F.when(
         c("psi_degenerate"), F.array().cast("array<double>")).otherwise(dense)).drop("_m")
 
 
@@ -86,7 +89,7 @@ def drift(live: DataFrame, profile: DataFrame, features: list[str], least: int =
     long = to_long(live, features).withColumn("value", finite(c("value")))
     based = profile.select("feature", "psi_degenerate", "psi_edges", "psi_proportions")
     seen = long.groupBy("feature").agg(F.count("value").alias("n_live"))
-    counted = long.filter(c("value").isNotNull()).join(sized(based.select("feature", "psi_edges")), "feature").groupBy(
+    counted = long.filter(c("value").isNotNull()).join(F.broadcast(based.select("feature", "psi_edges")), "feature").groupBy(
         "feature", bin_of(c("psi_edges"), c("value")).alias("bin")).agg(F.count(F.lit(1)).alias("_c"))
     grid = based.select("feature", F.posexplode("psi_proportions").alias("bin", "base"))
     joined = grid.join(counted, ["feature", "bin"], "left").join(seen, "feature")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..constants import LOCAL_OFFSET_HOURS
 from ..functions.columns import micros, nan_to_null, nullif_empty
 from ..operators import alignment, features
-from ..operators.ordered import group_sizes, sized
+from ..operators.ordered import group_sizes, settled, sized
 from ..session import cut
 
 NAV_FILE, SATELLITE_FILE, RF_FILE, SCENARIO_FILE = "nav_pvt.csv", "rinex.csv", "mon_rf.csv", "scenario.json"
@@ -124,14 +124,14 @@ def feature_table(nav: DataFrame, satellites: DataFrame, rf: DataFrame, windows:
         spine = alignment.nearest(spine, right, ["run_id"], "time_us", at, tolerance_s, columns, ["src_idx"],
                                   split_rows, sizes)
     labelled = alignment.covered(spine, windows, ["run_id"], "time_us", "window_start", "window_end", split_rows=split_rows)
-    out = labelled.join(sized(alignment.window_facts(nav, windows, ["run_id"], "time_us")), "run_id", "left")
+    out = labelled.join(settled(alignment.window_facts(nav, windows, ["run_id"], "time_us")), "run_id", "left")
     return out if facts is None else out.join(sized(facts), "run_id", "left")
 
 
 def build_features(spark: SparkSession, root: str, limits: features.Limits = features.Limits()) -> DataFrame:
     """The feature table of all complete recordings below a folder."""
     scenarios, _ = read_scenarios(spark, root)
-    usable = sized(complete_runs(spark, root).join(scenarios.select("run_id"), "run_id", "left_semi"))
+    usable = settled(complete_runs(spark, root).join(scenarios.select("run_id"), "run_id", "left_semi"))
 
     def kept(df):
         return df.join(usable, "run_id", "left_semi")
