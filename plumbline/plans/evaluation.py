@@ -204,7 +204,7 @@ def balanced_folds(spark, sf_dir):
 
 
 @query("w28_fold_sizes", JUDGED + """, t AS (SELECT attack_type, count(DISTINCT site) AS n FROM ju GROUP BY attack_type)
-SELECT attack_type, CAST(f AS INTEGER) AS fold, n // 4 + CASE WHEN f < n % 4 THEN 1 ELSE 0 END AS n_runs FROM t, range(4) r(f)""")
+SELECT attack_type, CAST(f AS INTEGER) AS fold, n // 4 + CASE WHEN f < n % 4 THEN 1 ELSE 0 END AS n_runs FROM t, range(4) r(f) WHERE f < n""")
 def fold_sizes(spark, sf_dir):
     out = balanced_folds(spark, sf_dir)
     return out.groupBy("attack_type", "fold").agg(F.count(F.lit(1)).alias("n_runs"))

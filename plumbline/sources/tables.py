@@ -12,8 +12,8 @@ PROFILE = T.StructType([
 
 
 def write_features(df: DataFrame, path: str, by: str = "run_id") -> None:
-    """Parquet in one folder per recording."""
-    df.write.mode("overwrite").partitionBy(by).parquet(path)
+    """Parquet in one folder per recording, a large recording in several files."""
+    df.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(path)
 
 
 def read_features(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
