@@ -39,12 +39,12 @@ def adjacent_sites(spark, sf_dir):
     return B.rounded(neighbours.adjacency(B.sites(spark, sf_dir), 4.0, key="site"), 3)
 
 
-CELLS = """ce AS (SELECT DISTINCT o_custkey % 97 AS q, o_orderkey % 89 AS r FROM orders WHERE o_orderstatus = 'P')"""
+CELLS = """ce AS (SELECT DISTINCT o_custkey % 397 AS q, o_orderkey % 389 AS r FROM orders)"""
 
 
 def _cells(spark, sf_dir):
-    o = B.table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'")
-    return o.select(F.pmod("o_custkey", F.lit(97)).alias("q"), F.pmod("o_orderkey", F.lit(89)).alias("r")).distinct()
+    o = B.table(spark, sf_dir, "orders")
+    return o.select(F.pmod("o_custkey", F.lit(397)).alias("q"), F.pmod("o_orderkey", F.lit(389)).alias("r")).distinct()
 
 
 @query("j08_axial_neighbours", f"""WITH {CELLS}, d(dq, dr) AS (VALUES (1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1))
