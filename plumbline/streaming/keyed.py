@@ -6,15 +6,20 @@ the stream, use `pipeline.Intake`, which spreads a key over tasks.
 
 from __future__ import annotations
 
+import sys
 from collections import deque
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..constants import ENTER_STREAK, EXIT_STREAK
 
+# The process that sets up the state does not see shipped files, so the processors travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
