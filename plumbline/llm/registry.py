@@ -1,12 +1,14 @@
 """The queries of the corpus operators and their SQL."""
 
+from plumbline.llm import decontaminate
 from plumbline.llm.packing import op6
 from plumbline.llm.sharding import op2
 from plumbline.llm.simhash import op10
 
 QUERIES = {
     "op2_interleave": op2,
+    "op3_fm_index": decontaminate.op3,
     "op6_bin_slack": op6,
     "op10_pivot_simhash": op10,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_fm_index": decontaminate.SQL}
