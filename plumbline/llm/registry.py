@@ -1,6 +1,6 @@
 """The queries of the corpus operators and their SQL."""
 
-from plumbline.llm import decontaminate
+from plumbline.llm import decontaminate, pii, quality
 from plumbline.llm.packing import op6
 from plumbline.llm.sharding import op2
 from plumbline.llm.simhash import op10
@@ -8,6 +8,8 @@ from plumbline.llm.simhash import op10
 QUERIES = {
     "op2_interleave": op2,
     "op3_fm_index": decontaminate.op3,
+    "op1_bootstrapped_pii": pii.op1,
+    "op4_weak_labels": quality.op4,
     "op6_bin_slack": op6,
     "op10_pivot_simhash": op10,
 }

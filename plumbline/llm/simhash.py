@@ -69,7 +69,7 @@ def _pairs(a: np.ndarray, b: np.ndarray, bits: int):
         yield at + i[keep], j[keep]
 
 
-def _forest(key, frame: pd.DataFrame) -> pd.DataFrame:
+def _forest(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     """Links of one bucket (or pair of its tiles) reduced to a spanning forest."""
     fps = np.unique(frame["fp"].to_numpy())
     codes = fps.view(np.uint64)
