@@ -1,6 +1,6 @@
 """The queries of the corpus operators and their SQL."""
 
-from plumbline.llm import decontaminate, pii, quality, rules, suffixes, warc
+from plumbline.llm import decontaminate, licenses, pii, quality, rules, suffixes, warc
 from plumbline.llm.packing import op6
 from plumbline.llm.sharding import op2
 from plumbline.llm.simhash import op10
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_deep_shallow": suffixes.op5,
     "op6_bin_slack": op6,
     "op7_boosted_rules": rules.op7,
+    "op8_conditional_license": licenses.op8,
     "op9_warc_zstd": warc.op9,
     "op10_pivot_simhash": op10,
 }
