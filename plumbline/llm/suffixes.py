@@ -192,7 +192,8 @@ def mark(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ship(docs.sparkSession)
     rows = docs.select(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("row"), F.col("doc_id").cast("long"), "text")
-    places = stored(rows.mapInArrow(scan, PLACES), "anchors")
+    # In periodic texts equal surroundings may hold the anchor at different places.
+    places = stored(rows.mapInArrow(scan, PLACES).withColumn("ctx", F.xxhash64("ctx", "lo", "hi")), "anchors")
     kinds = stored(places.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min("row").alias("one")), "kinds")
     shared = stored(kinds.groupBy("key").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1"), "shared")
     kinds = stored(kinds.join(shared, "key"), "kinds")
@@ -223,7 +224,7 @@ def mark(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         sizes = stored(parts.groupBy("part").agg(F.count("*").alias("n"), F.max(F.col("b") - F.col("a")).alias("wide")), "sizes")
         parts = stored(parts.drop("n", "wide").join(sizes.where("n > 1"), "part"), "parts")
         done.append(parts.where((F.col("n") <= GROUP) & (F.col("wide") > 0)))
-        single = parts.where((F.col("n") > GROUP) & (F.col("wide") == 0))
+        single = parts.where(F.col("wide") == 0)
         big = parts.where((F.col("n") > GROUP) & (F.col("wide") > 0))
         done.append(single.withColumn("all", F.lit(True)))
         if big.isEmpty():
