@@ -117,9 +117,9 @@ def recent_events(spark, sf_dir):
     return profile.recent(scored(spark, sf_dir), 200).select("event_id", "site", "alert_state")
 
 
-@query("o03_flagged_events", SCORED + " SELECT event_id, site, source FROM fl WHERE flagged ORDER BY event_id DESC LIMIT 20000")
+@query("o03_flagged_events", SCORED + " SELECT event_id, site, source FROM fl WHERE flagged ORDER BY event_id DESC")
 def flagged_events(spark, sf_dir):
-    return flagged(spark, sf_dir).select("event_id", "site", "source").orderBy(F.desc("event_id")).limit(20000)
+    return flagged(spark, sf_dir).select("event_id", "site", "source").orderBy(F.desc("event_id"))
 
 
 @query("o04_site_events_since", f"""WITH {B.EVENTS} SELECT event_id, site, value FROM ev
