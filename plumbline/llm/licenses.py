@@ -98,5 +98,5 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
-    listed = F.transform("licenses", lambda x: F.concat_ws(":", x.line.cast("string"), x.name, x.differing.cast("string")))
+    listed = F.transform("licenses", lambda x: F.concat_ws(":", x["line"].cast("string"), x["name"], x["differing"].cast("string")))
     return found.select("doc_id", "n_candidates", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(listed, ",").alias("licenses"))
