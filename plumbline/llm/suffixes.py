@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,21 +45,14 @@ def anchors(data: bytes) -> list[tuple[int, int, int, int, int]]:
     keys = piece(np.arange(n - KEY + 1), np.arange(KEY, n + 1))
     width = BEFORE + 1
     strings = n - LENGTH + 1
-    pad = np.full(-len(keys) % width, np.iinfo(np.uint64).max, np.uint64)
-    blocks = np.concatenate([keys, pad]).reshape(-1, width)
+    # Places in the order of key and position: the least place of a window is that of its leftmost least key.
+    order = np.argsort(keys, kind="stable")
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.arange(len(keys))
+    blocks = np.concatenate([rank, np.full(-len(keys) % width, len(keys))]).reshape(-1, width)
     ahead = np.minimum.accumulate(blocks, 1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
-    least = np.minimum(behind[:strings], ahead[width - 1:width - 1 + strings])
-    # The leftmost position at or after each string's start that holds its least hash.
-    order = np.lexsort((np.arange(len(keys)), keys))
-    sorted_ = keys[order]
-    at = np.empty(strings, np.int64)
-    low = np.searchsorted(sorted_, least, "left")
-    at[:] = order[low]
-    late = at < np.arange(strings)
-    for s in np.flatnonzero(late):
-        high = np.searchsorted(sorted_, least[s], "right")
-        at[s] = order[low[s] + np.searchsorted(order[low[s]:high], s)]
+    at = order[np.minimum(behind[:strings], ahead[width - 1:width - 1 + strings])]
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     last = np.r_[first[1:], strings] - 1
     place = at[first]
@@ -129,6 +121,8 @@ def common(a: bytes, b: bytes) -> int:
 def deep_shallow(strings: list[bytes]) -> list[int]:
     """Order of equal-length strings: multikey quicksort on words of eight bytes to the shallow depth, then tries."""
     n = len(strings)
+    if n == 2:
+        return [0, 1] if strings[0] <= strings[1] else [1, 0]
     width = max(map(len, strings), default=0)
     words = np.frombuffer(b"".join(s[:8 * SHALLOW].ljust(8 * SHALLOW, b"\0") for s in strings), ">u8").reshape(n, SHALLOW)
     out, stack = [], [(np.arange(n), 0)]
@@ -160,7 +154,11 @@ def repeated(texts: list[bytes], at: list[int], offsets: range) -> np.ndarray:
         lcp = np.array([0] + [min(common(strings[a], strings[b]), len(strings[a])) for a, b in zip(order, order[1:])])
         shared.append((np.array(order), lcp, np.array(sizes)))
     out = np.zeros((n, len(offsets)), bool)
-    for k, a in enumerate(offsets):
+    # The groups change only where a needed length passes one that is shared or there at all.
+    (_, right_lcp, right_size), (_, left_lcp, left_size) = shared
+    border = np.unique(np.r_[offsets.start, LENGTH - right_lcp, LENGTH - right_size, left_lcp + 1, left_size + 1])
+    border = border[(border >= offsets.start) & (border < offsets.stop)].tolist()
+    for a, end in zip(border, [*border[1:], offsets.stop]):
         ids = []
         for (order, lcp, sizes), need in zip(shared, (LENGTH - a, a)):
             group = np.empty(n, np.int64)
@@ -168,7 +166,7 @@ def repeated(texts: list[bytes], at: list[int], offsets: range) -> np.ndarray:
             ids.append(np.where(sizes >= need, group, -1))
         whole = np.flatnonzero((ids[0] >= 0) & (ids[1] >= 0))
         _, same, count = np.unique(ids[0][whole] * (n + 1) + ids[1][whole], return_inverse=True, return_counts=True)
-        out[whole, k] = count[same] > 1
+        out[whole, a - offsets.start:end - offsets.start] = (count[same] > 1)[:, None]
     return out
 
 
@@ -237,23 +235,47 @@ def mark(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         fits = (F.col("a") <= F.col("hi")) & (F.col("b") >= F.col("lo"))
         parts = halves.where(fits).withColumn("part", F.xxhash64("key", "a", "b", core))
 
-    def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        low, high = int(frame["a"].iloc[0]), int(frame["b"].iloc[0])
-        offsets = range(max(low, int(frame["lo"].min())), min(high, int(frame["hi"].max())) + 1)
-        found = repeated([bytes(x) for x in frame["body"]], frame["anchor"].tolist(), offsets)
+    def compare(batches):
+        """Repeats of each part; the rows of a part, at most GROUP, stand together and may cross batches."""
+        names = ("part", "key", "ctx", "body", "anchor", "lo", "hi", "a", "b")
+
+        def parts_of():
+            rows = []
+            for batch in batches:
+                for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                    if rows and rows[0][0] != row[0]:
+                        yield rows
+                        rows = []
+                    rows.append(row)
+            if rows:
+                yield rows
+
+        def packed(out):
+            kinds_ = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds_, strict=True)], ["key", "ctx", "lo", "hi"])
+
         out = []
-        for k, c, lo, hi, row in zip(frame["key"], frame["ctx"], frame["lo"], frame["hi"], found):
-            row = row & (np.array(offsets) >= lo) & (np.array(offsets) <= hi)
-            edge = np.flatnonzero(np.diff(np.r_[False, row, False].astype(np.int8)))
-            out += [(k, c, offsets[x], offsets[y - 1]) for x, y in zip(edge[::2], edge[1::2])]
-        return pd.DataFrame(out, columns=["key", "ctx", "lo", "hi"])
+        for rows in parts_of():
+            _, keys, ctxs, bodies, places_, lows, highs, begin, end = zip(*rows, strict=True)
+            offsets = range(max(begin[0], min(lows)), min(end[0], max(highs)) + 1)
+            found = repeated(list(bodies), list(places_), offsets)
+            inside = np.arange(offsets.start, offsets.stop)
+            found &= (inside >= np.array(lows)[:, None]) & (inside <= np.array(highs)[:, None])
+            edge = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+            for (i, x), (_, y) in zip(np.argwhere(edge == 1).tolist(), np.argwhere(edge == -1).tolist(), strict=True):
+                out.append((keys[i], ctxs[i], offsets.start + x, offsets.start + y - 1))
+            if len(out) > 50_000:
+                yield packed(out)
+                out = []
+        if out:
+            yield packed(out)
 
     sets = []
     for part in done:
         if "all" in part.columns:
             sets.append(part.select("key", "ctx", F.col("a").alias("lo"), F.col("b").alias("hi")))
         else:
-            sets.append(part.groupBy("part").applyInPandas(compare, "key long, ctx long, lo int, hi int"))
+            sets.append(part.repartition("part").sortWithinPartitions("part").mapInArrow(compare, "key long, ctx long, lo int, hi int"))
     more = sets[0]
     for s in sets[1:]:
         more = more.union(s)
