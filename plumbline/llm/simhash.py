@@ -5,7 +5,6 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +17,8 @@ WORDS, SEED, BITS = 4, 42, 4
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 PIVOTS = np.random.default_rng(7).integers(0, 1 << 64, 24, dtype=np.uint64)
 TILE = 2048
+# Rows of buckets that a task compares at a time, and the longest bucket that is compared step by step.
+LOT, RUN = 100_000, 256
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -69,12 +70,30 @@ def _pairs(a: np.ndarray, b: np.ndarray, bits: int):
         yield at + i[keep], j[keep]
 
 
-def _forest(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    """Links of one bucket (or pair of its tiles) reduced to a spanning forest."""
-    fps = np.unique(frame["fp"].to_numpy())
-    codes = fps.view(np.uint64)
-    parent = np.arange(len(fps))
-    for i, j in _pairs(codes, codes, BITS):
+def _near(codes: np.ndarray, end: np.ndarray, bits: int):
+    """Index pairs within `bits` of each row and the later ones of its run, which stops before `end`; pivots first."""
+    to = np.bitwise_count(codes[:, None] ^ PIVOTS).astype(np.int8)
+    live = np.arange(len(codes))
+    for step in range(1, len(codes)):
+        live = live[live + step < end[live]]
+        if not len(live):
+            return
+        i = live
+        for p in range(len(PIVOTS)):
+            i = i[np.abs(to[i, p] - to[i + step, p]) <= bits]
+        i = i[np.bitwise_count(codes[i] ^ codes[i + step]) <= bits]
+        yield i, i + step
+
+
+class _Forest:
+    """Links of fingerprints reduced to a spanning forest."""
+
+    def __init__(self, fps: np.ndarray):
+        self.fps, self.place = np.unique(fps, return_inverse=True)
+        self.parent = np.arange(len(self.fps))
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        parent, i, j = self.parent, self.place[i], self.place[j]
         while len(i):
             low = np.minimum(parent[i], parent[j])
             np.minimum.at(parent, parent[i], low)
@@ -83,8 +102,43 @@ def _forest(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
                 parent = parent[parent]
             apart = parent[i] != parent[j]
             i, j = i[apart], j[apart]
-    linked = np.flatnonzero(parent != np.arange(len(fps)))
-    return pd.DataFrame({"a": fps[linked], "b": fps[parent[linked]]})
+        self.parent = parent
+
+    def links(self) -> pa.RecordBatch:
+        linked = np.flatnonzero(self.parent != np.arange(len(self.fps)))
+        return pa.RecordBatch.from_arrays([pa.array(self.fps[linked]), pa.array(self.fps[self.parent[linked]])], ["a", "b"])
+
+
+def _reduced(batches):
+    """Links of the buckets (or pairs of their tiles) in each lot of rows; the rows of a bucket stand together."""
+    def lots():
+        held, rows = [], 0
+        for batch in batches:
+            part = np.stack([np.asarray(batch.column(c), dtype=np.int64) for c in ("bucket", "low", "high", "fp")], 1)
+            held.append(part)
+            rows += len(part)
+            if rows >= LOT:
+                whole = np.concatenate(held)
+                cut = int(np.flatnonzero((whole[:, :3] != whole[-1, :3]).any(1))[-1:].sum() + 1) if (whole[:, :3] != whole[-1, :3]).any() else 0
+                if cut:
+                    yield whole[:cut]
+                held, rows = [whole[cut:]], len(whole) - cut
+        if rows:
+            yield np.concatenate(held)
+
+    for lot in lots():
+        start = np.flatnonzero(np.r_[True, (lot[1:, :3] != lot[:-1, :3]).any(1)])
+        stop = np.r_[start[1:], len(lot)]
+        fps, forest = lot[:, 3].copy(), _Forest(lot[:, 3])
+        codes = fps.view(np.uint64)
+        large = stop - start > RUN
+        end = np.repeat(np.where(large, 0, stop), stop - start)
+        for i, j in _near(codes, end, BITS):
+            forest.add(i, j)
+        for x, y in zip(start[large].tolist(), stop[large].tolist()):
+            for i, j in _pairs(codes[x:y], codes[x:y], BITS):
+                forest.add(x + i, x + j)
+        yield forest.links()
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -103,12 +157,17 @@ def links(distinct: DataFrame) -> DataFrame:
     met = (rows.join(sizes, "bucket").withColumn("own", own).withColumn("of", tiles)
            .select("fp", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other"))
            .withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")))
-    return met.groupBy("bucket", "low", "high").applyInPandas(_forest, "a long, b long").distinct()
+    met = met.select("bucket", "low", "high", "fp").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    return met.mapInArrow(_reduced, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(fp, root) of every linked fingerprint: alternating large and small stars until nothing changes."""
+    def state(rows):
+        return rows.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
     edges = stored(edges, "links")
+    known = state(edges)
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -118,7 +177,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = (down.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .union(lowest.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         after = stored(small, "stars")
-        if not after.exceptAll(edges).limit(1).count() and not edges.exceptAll(after).limit(1).count():
+        known, before = state(after), known
+        if known == before:
             return after.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "fp")
         edges = after
 
