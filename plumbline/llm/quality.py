@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from operator import eq
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,14 +22,25 @@ SAMPLE_ROWS = 6000
 REJECT = 0.5
 
 
-def votes(text: str, words: list[str]) -> list[int]:
+class Words:
+    """The words of a text: how many, how often each, and how many equal the one before."""
+
+    def __init__(self, text: str | None):
+        words = (text or "").split()
+        self.n, self.counts, self.same = len(words), Counter(words), sum(map(eq, words, words[1:]))
+
+    def where(self, holds) -> int:
+        return sum(c for w, c in self.counts.items() if holds(w))
+
+
+def votes(words: Words) -> list[int]:
     """One vote for each labeller: 1 good, 0 bad, -1 none."""
-    n = max(len(words), 1)
-    marked = sum(w[-1] in "#*$%&<>" for w in words) / n
-    capital = sum(len(w) > 1 and w.isupper() for w in words) / n
-    bars = sum(w == "|" for w in words) / n
-    repeat = sum(a == b for a, b in zip(words, words[1:])) / n
-    distinct = len(set(words)) / n
+    n = max(words.n, 1)
+    marked = words.where(lambda w: w[-1] in "#*$%&<>") / n
+    capital = words.where(lambda w: len(w) > 1 and w.isupper()) / n
+    bars = words.counts["|"] / n
+    repeat = words.same / n
+    distinct = len(words.counts) / n
     return [0 if marked > 0.2 else 1 if marked < 0.02 else -1,
             0 if capital > 0.3 else 1 if capital < 0.02 else -1,
             0 if repeat > 0.2 else 1 if repeat < 0.02 else -1,
@@ -34,20 +49,17 @@ def votes(text: str, words: list[str]) -> list[int]:
             -1 if n < 5 else 1 if max(marked, capital, repeat, bars) < 0.05 else 0 if max(marked, capital, repeat, bars) > 0.25 else -1]
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Hashed shapes of words and of word pairs, as shares of the text."""
-    from zlib import crc32
-
-    shapes: dict[str, int] = {}
-    before = ""
-    for w in words:
-        case = "A" if w.isupper() and len(w) > 1 else "a" if any(map(str.isalpha, w)) else "-"
+    shapes = {"same": words.same, "new": words.n - words.same} if words.n else {}
+    for w, c in words.counts.items():
+        case = "A" if w.isupper() and len(w) > 1 else "a" if w.isalpha() or any(map(str.isalpha, w)) else "-"
         end = w[-1] if not w[-1].isalnum() else ""
-        for key in (f"s{case}{end}", "same" if w == before else "new", f"l{min(len(w), 20)}"):
-            shapes[key] = shapes.get(key, 0) + 1
-        before = w
+        for key in (f"s{case}{end}", f"l{min(len(w), 20)}"):
+            shapes[key] = shapes.get(key, 0) + c
+    shapes = {k: c for k, c in shapes.items() if c}
     index = np.array([crc32(k.encode()) % DIMENSIONS for k in shapes], np.int64)
-    return index, np.array(list(shapes.values()), np.float64) / max(len(words), 1)
+    return index, np.array(list(shapes.values()), np.float64) / max(words.n, 1)
 
 
 def em(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +87,7 @@ def scored(docs: DataFrame) -> DataFrame:
     """
     def vote(batches):
         for batch in slices(batches, "text"):
-            rows = [votes(t, t.split()) for t in ((x or "") for x in batch.column("text").to_pylist())]
+            rows = [votes(Words(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "mark", "v"])
 
     spark = ship(docs.sparkSession)
@@ -99,9 +111,9 @@ def scored(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text"):
             index, value, label = [], [], []
             for t in batch.column("text").to_pylist():
-                words = (t or "").split()
+                words = Words(t)
                 i, x = features(words)
-                index.append(i), value.append(x), label.append(belief[tuple(votes(t or "", words))])
+                index.append(i), value.append(x), label.append(belief[tuple(votes(words))])
             yield pa.RecordBatch.from_arrays([pa.array(index, pa.list_(pa.int64())), pa.array(value, pa.list_(pa.float64())), pa.array(label)], ["i", "x", "y"])
 
     rows = sample.mapInArrow(gather, "i array<long>, x array<double>, y double").collect()
@@ -122,9 +134,9 @@ def scored(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text"):
             posterior, out = [], []
             for t in batch.column("text").to_pylist():
-                words = (t or "").split()
+                words = Words(t)
                 i, x = features(words)
-                posterior.append(belief.get(tuple(votes(t or "", words)), 0.5))
+                posterior.append(belief.get(tuple(votes(words)), 0.5))
                 out.append(float(1 / (1 + np.exp(-np.clip(weights[i] @ x + bias, -30, 30)))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(posterior), pa.array(out)], [*batch.schema.names, "_posterior", "_score"])
 
