@@ -4,35 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Label of every feature, statistics of a signal family in brackets.
+# Labels of single features.
 LABELS = {
-    "agc_cnt_mean": "Receiver gain control (mean)",
-    "doppler_l1_mean": "Doppler consistency",
-    "doppler_l1_std": "Doppler consistency",
     "fixtype": "Satellite tracking (fix type)",
     "gspeed": "Reported motion (ground speed)",
     "hacc": "Position solution quality (horizontal accuracy)",
     "headacc": "Position solution quality (heading accuracy)",
-    "jam_ind_mean": "Receiver jamming indicator (mean)",
     "n_sats_l1": "Satellite tracking (L1 satellites)",
-    "noise_per_ms_mean": "Radio noise floor (mean)",
     "numsv": "Satellite tracking (satellites used)",
     "pdop": "Position solution quality (geometry quality)",
     "pos_dev_m": "Position solution quality (position deviation)",
-    "pr_doppler_residual_mean": "Doppler consistency",
-    "pr_doppler_residual_std": "Doppler consistency",
     "sacc": "Position solution quality (speed accuracy)",
-    "snr_l1_mean": "Signal-to-noise ratio (mean)",
-    "snr_l1_min": "Signal-to-noise ratio (minimum)",
-    "snr_l1_std": "Signal-to-noise ratio (variation)",
     "vacc": "Position solution quality (vertical accuracy)",
     "veld": "Reported motion (vertical velocity)",
     "vele": "Reported motion (east velocity)",
     "veln": "Reported motion (north velocity)",
 }
+# Label of every feature that starts so, what its ending adds in brackets, and what stands there otherwise.
+FAMILIES = [
+    ("agc_", "Receiver gain control", {"_mean": "mean"}, None),
+    ("doppler_", "Doppler consistency", {}, None),
+    ("jam_ind_", "Receiver jamming indicator", {"_mean": "mean"}, None),
+    ("noise_per_ms_", "Radio noise floor", {"_mean": "mean"}, None),
+    ("pr_doppler_", "Doppler consistency", {}, None),
+    ("snr_", "Signal-to-noise ratio", {"_mean": "mean", "_min": "minimum", "_std": "variation"}, "value"),
+    ("vel", "Reported motion", {}, "velocity"),
+]
 
 
 def plain_name(feature: Column) -> Column:
-    """The label, or the name itself in title case."""
+    """The feature's own label, else its family's, else the name itself in title case."""
+    name = F.lower(feature)
+    out = F.initcap(F.trim(F.translate(feature, "_", " ")))
+    for start, family, endings, other in FAMILIES:
+        label = F.lit(f"{family} ({other})" if other else family)
+        for ending, detail in endings.items():
+            label = F.when(name.endswith(ending), f"{family} ({detail})").otherwise(label)
+        out = F.when(name.startswith(start), label).otherwise(out)
     known = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
-    return F.coalesce(F.try_element_at(known, F.lower(feature)), F.initcap(F.trim(F.translate(feature, "_", " "))))
+    return F.coalesce(F.try_element_at(known, name), out)

@@ -11,9 +11,6 @@ from ..functions.columns import ratio
 from ..session import cut
 from .ordered import Ordered, group_sizes
 
-# Up to this many sites every position takes part in a draw; beyond it positions are drawn.
-ALL_POSITIONS = 4096
-
 
 def _with_one(df: DataFrame, row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row table."""
@@ -87,21 +84,34 @@ def permutation_test(values: DataFrame, edges: DataFrame, rounds: int = PERMUTAT
 
 
 def _draws(sites: int, most: int, rounds: int, seed: int, spark) -> DataFrame:
-    """For every round, `most` distinct positions out of sites - 1, in drawing order."""
-    others = sites - 1
-    take = others if others <= ALL_POSITIONS else 8 * most + 64
-    start = spark.range(1, rounds + 1).select(F.col("id").alias("round"))
-    tries = start.select("round", F.explode(F.sequence(F.lit(0), F.lit(take - 1))).alias("j"))
-    h = F.xxhash64(F.lit(seed), "round", "j")
-    if others <= ALL_POSITIONS:
-        picked = tries.select("round", F.col("j").cast("long").alias("at"), h.alias("turn"))
-    else:
-        picked = tries.select("round", F.pmod(h, F.lit(others)).alias("at"), F.col("j").cast("long").alias("turn"))
-        picked = picked.groupBy("round", "at").agg(F.min("turn").alias("turn"))
-    first = F.row_number().over(Window.partitionBy("round").orderBy("turn", "at"))
+    """For every round, `most` distinct positions out of sites - 1, in drawing order.
+
+    Every position has a number for the round, and those of the least numbers are drawn, at any number of sites.
+    Each batch of positions hands on its own least ones only.
+    """
+    def least(batches):
+        for pdf in batches:
+            at = pdf["id"].to_numpy()
+            spread = _mixed(at.astype("uint64"))
+            take = min(most, len(at))
+            for number in range(1, rounds + 1):
+                turn = _mixed(spread ^ _mixed(np.array([seed * 1_000_003 + number], "uint64")))
+                best = np.argpartition(turn, take - 1)[:take]
+                yield pd.DataFrame({"round": number, "at": at[best], "turn": turn[best].view("int64")})
+
+    picked = spark.range(sites - 1).mapInPandas(least, "round long, at long, turn long")
+    first = F.row_number().over(Window.partitionBy("round").orderBy(F.shiftrightunsigned("turn", 1), "turn", "at"))
     return picked.withColumn("nth", first).filter(F.col("nth") <= most)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers with their bits mixed."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def local_moran(values: DataFrame, edges: DataFrame, rounds: int = PERMUTATIONS, seed: int = 42,
                 value: str = "value", alpha: float = ALPHA, split_rows=None) -> DataFrame:
     """Local index, conditional pseudo p and quadrant (1 HH, 2 LH, 3 LL, 4 HL, 0 not significant).
@@ -122,7 +132,7 @@ def local_moran(values: DataFrame, edges: DataFrame, rounds: int = PERMUTATIONS,
     draws = _draws(n, most, rounds, seed, values.sparkSession)
     low = numbered.select(F.col("_at").alias("at"), F.col("z").alias("low"))
     high = numbered.select((F.col("_at") - 1).alias("at"), F.col("z").alias("high"))
-    drawn = F.broadcast(draws).join(low, "at").join(high, "at").select("round", "nth", "at", "low", "high")
+    drawn = draws.join(low, "at").join(high, "at").select("round", "nth", "at", "low", "high")
     table = drawn.toPandas().sort_values(["round", "nth"])
     at, lows, highs = (table[c].to_numpy().reshape(rounds, most) for c in ("at", "low", "high"))
     scale = (n - 1) / square
@@ -171,7 +181,7 @@ def at_checkpoints(events: DataFrame, edges: DataFrame, checkpoints: list[int],
     Events fall into the first checkpoint that includes them; the last value of a site is then
     carried over the later ones. Sites not seen yet are left out of their checkpoint.
     """
-    marks = F.array(*[F.lit(int(x)) for x in sorted(checkpoints)])
+    marks = F.array(*[F.lit(int(x)).cast("long") for x in sorted(checkpoints)])
     number = F.size(F.filter(marks, lambda x: x < F.col(event_id)))
     newest = events.withColumn("_k", number).filter(F.col("_k") < len(checkpoints)).groupBy("site", "_k").agg(
         F.max_by(value, event_id).alias("_v"))

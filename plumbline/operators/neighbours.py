@@ -85,12 +85,12 @@ def nearest_sites(points: DataFrame, k: int = NEIGHBOURS, key: str = "site", blo
     return own.withColumn("rank", rank).filter(F.col("rank") <= k).select(key, "neighbour", "km", "rank")
 
 
-def _cells(s: Column, n: Column, w: Column, e: Column) -> Column:
-    """Grid cells a box touches, wrapping at the date line."""
-    whole = int(360 / CELL_DEG)
-    lats = F.sequence(F.floor(s / CELL_DEG).cast("long"), F.floor(n / CELL_DEG).cast("long"))
-    wide = F.when(e - w >= 360 - CELL_DEG, F.sequence(F.lit(0).cast("long"), F.lit(whole - 1).cast("long"))).otherwise(
-        F.transform(F.sequence(F.floor(w / CELL_DEG).cast("long"), F.floor(e / CELL_DEG).cast("long")),
+def _cells(s: Column, n: Column, w: Column, e: Column, whole: int = int(360 / CELL_DEG)) -> Column:
+    """Grid cells a box touches, `whole` of them around the globe, wrapping at the date line."""
+    deg = 360 / whole
+    lats = F.sequence(F.floor(s / deg).cast("long"), F.floor(n / deg).cast("long"))
+    wide = F.when(e - w >= 360 - deg, F.sequence(F.lit(0).cast("long"), F.lit(whole - 1).cast("long"))).otherwise(
+        F.transform(F.sequence(F.floor(w / deg).cast("long"), F.floor(e / deg).cast("long")),
                     lambda x: F.pmod(x, F.lit(whole).cast("long"))))
     lons = F.array_distinct(wide)
     return F.flatten(F.transform(lats, lambda y: F.transform(lons, lambda x: F.struct(y.alias("y"), x.alias("x")))))
@@ -111,11 +111,14 @@ def _block_pairs(boxes: DataFrame) -> DataFrame:
     """Blocks to compare: `other` may hold a neighbour of a point of `block`."""
     c = F.col
     south, north, west, east = _grown(c("s"), c("n"), c("w"), c("e"), c("reach"))
-    ask = boxes.select("block", south.alias("gs"), north.alias("gn"),
+    ask = boxes.select("block", south.alias("gs"), north.alias("gn"), west.alias("gw"), east.alias("ge"),
                        F.explode(_cells(south, north, west, east)).alias("cell"))
-    have = boxes.select(c("block").alias("other"), c("s").alias("os"), c("n").alias("on"),
+    have = boxes.select(c("block").alias("other"), c("s").alias("os"), c("n").alias("on"), c("w").alias("ow"), c("e").alias("oe"),
                         F.explode(_cells(c("s"), c("n"), c("w"), c("e"))).alias("cell"))
-    near = ask.join(have, "cell").filter((c("os") <= c("gn") + 1e-9) & (c("on") >= c("gs") - 1e-9))
+    meets = F.lit(False)
+    for turn in (-360.0, 0.0, 360.0):
+        meets = meets | ((c("ow") + turn <= c("ge") + 1e-9) & (c("oe") + turn >= c("gw") - 1e-9))
+    near = ask.join(have, "cell").filter((c("os") <= c("gn") + 1e-9) & (c("on") >= c("gs") - 1e-9) & meets)
     return near.select("block", "other").distinct()
 
 
@@ -127,13 +130,18 @@ def inverse_distance_weights(edges: DataFrame, key: str = "site") -> DataFrame:
 
 
 def adjacency(cells: DataFrame, within_km: float, key: str = "cell") -> DataFrame:
-    """Cells whose centres are at most `within_km` apart, both ways; a cell without any stays isolated."""
+    """Cells whose centres are at most `within_km` apart, both ways; a cell without any stays isolated.
+
+    The grid of the join is as wide as the distance, so a centre meets the centres around it only.
+    """
     c = F.col
     south, north, west, east = _grown(c("lat"), c("lat"), c("lon"), c("lon"), F.lit(float(within_km)))
+    reach = float(np.degrees(within_km / EARTH_RADIUS_KM))
+    whole = max(4, int(360 / max(reach, 1e-5)))
     ask = cells.select(c(key), c("lat").alias("_lat"), c("lon").alias("_lon"),
-                       F.explode(_cells(south, north, west, east)).alias("_at"))
+                       F.explode(_cells(south, north, west, east, whole)).alias("_at"))
     have = cells.select(c(key).alias("neighbour"), "lat", "lon",
-                        F.explode(_cells(c("lat"), c("lat"), c("lon"), c("lon"))).alias("_at"))
+                        F.explode(_cells(c("lat"), c("lat"), c("lon"), c("lon"), whole)).alias("_at"))
     pairs = ask.join(sized(have), "_at").filter(c(key) != c("neighbour"))
     km = haversine_km(c("_lat"), c("_lon"), c("lat"), c("lon"))
     return pairs.withColumn("km", km).filter(c("km") <= within_km).select(key, "neighbour", "km")

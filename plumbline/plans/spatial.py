@@ -97,7 +97,7 @@ def quadrant_counts(spark, sf_dir):
 
 @query("a29_permutation_test")
 def permutation_test(spark, sf_dir):
-    return B.rounded(moran.permutation_test(balances(spark, sf_dir), edges(spark, sf_dir), rounds=99))
+    return B.rounded(moran.permutation_test(balances(spark, sf_dir), edges(spark, sf_dir)))
 
 
 @query("a33_shuffled_control")
@@ -119,20 +119,20 @@ def _seen_edges(spark, sf_dir):
     return neighbours.nearest_sites(B.sites(spark, sf_dir).join(seen, "site", "left_semi"))
 
 
-CHECKPOINTS = [400, 800, 900]
-
-
 @query("a31_moran_at_checkpoints", f"""WITH {B.EVENTS}, {B.SITES}, sn AS (SELECT * FROM si WHERE site IN (SELECT site FROM ev)), pa AS (
   SELECT a.site, b.site AS neighbour, round({B.km('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 9) AS km FROM sn a JOIN sn b ON a.site <> b.site), kn AS (
-  SELECT * FROM pa QUALIFY row_number() OVER (PARTITION BY site ORDER BY km, neighbour) <= 5), cp(checkpoint) AS (VALUES (400), (800), (900)), va AS (
+  SELECT * FROM pa QUALIFY row_number() OVER (PARTITION BY site ORDER BY km, neighbour) <= 5), cp AS (SELECT DISTINCT (top * k) // 10 AS checkpoint FROM (SELECT max(event_id) AS top FROM ev), range(1, 11) t(k)), va AS (
   SELECT checkpoint, site, arg_max(severity, event_id) AS v FROM cp JOIN ev ON event_id <= checkpoint GROUP BY ALL), ze AS (
   SELECT *, v - avg(v) OVER (PARTITION BY checkpoint) AS z FROM va), la AS (
   SELECT a.checkpoint, a.site, any_value(a.z) AS z, avg(b.z) AS lag FROM ze a LEFT JOIN (SELECT kn.site, ze.checkpoint, ze.z FROM kn JOIN ze ON ze.site = kn.neighbour) b
   ON a.site = b.site AND a.checkpoint = b.checkpoint GROUP BY a.checkpoint, a.site)
-SELECT CAST(checkpoint AS INTEGER) AS checkpoint, count(*) AS n, CASE WHEN count(*) >= 15 THEN round(count(*) / count(lag) * sum(z * lag) / sum(z * z), 6) END AS morans_i FROM la GROUP BY checkpoint""")
+SELECT CAST(checkpoint AS BIGINT) AS checkpoint, count(*) AS n, CASE WHEN count(*) >= 15 THEN round(count(*) / count(lag) * sum(z * lag) / sum(z * z), 6) END AS morans_i FROM la GROUP BY checkpoint""")
 def moran_at_checkpoints(spark, sf_dir):
-    out = moran.at_checkpoints(B.events(spark, sf_dir), _seen_edges(spark, sf_dir), CHECKPOINTS)
-    return B.rounded(out)
+    """Checkpoints at tenths of the largest id, so that the last one covers all events."""
+    events = B.events(spark, sf_dir)
+    top = events.agg(F.max("event_id")).first()[0] or 0
+    marks = sorted({top * k // 10 for k in range(1, 11)})
+    return B.rounded(moran.at_checkpoints(events, _seen_edges(spark, sf_dir), marks))
 
 
 @query("a34_serial_correlation", f"""WITH {B.EVENTS}, l AS (SELECT site, value, lag(value) OVER (PARTITION BY site ORDER BY time_us) AS p FROM ev)
