@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.columns import portable_hash
 from .ordered import Ordered
 
 
 def round_robin(runs: DataFrame, kind: str, run: str, folds: int, seed: int, split_rows=None) -> DataFrame:
     """Spread the recordings of each kind evenly after a seeded shuffle."""
-    shuffled = runs.withColumn("_h", F.xxhash64(F.lit(seed), run))
+    shuffled = runs.withColumn("_h", portable_hash(F.lit(seed), run))
     numbered = Ordered(shuffled, [kind], ["_h", run], split_rows).number("_i").df
     return numbered.withColumn("fold", F.pmod(F.col("_i") - 1, F.lit(folds)).cast("int")).drop("_h", "_i")
 

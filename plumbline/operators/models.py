@@ -14,7 +14,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..constants import THRESHOLD
-from ..functions.columns import severity, verdict
+from ..functions.columns import portable_hash, severity, verdict
 from .ordered import percentile_columns
 
 # Columns of a feature table that a model must not see (fixed values).
@@ -53,7 +53,7 @@ def short_hash(parts: Column, digits: int = 12) -> Column:
 
 def hash_sample(df: DataFrame, keys: list[str], rows: int, seed: int) -> DataFrame:
     """The same `rows` rows for the same seed, whatever the partitioning."""
-    return df.withColumn("_h", F.xxhash64(F.lit(seed), *keys)).orderBy("_h", *keys).limit(rows).drop("_h")
+    return df.withColumn("_h", portable_hash(F.lit(seed), *keys)).orderBy("_h", *keys).limit(rows).drop("_h")
 
 
 def hash_sample_with_replacement(df: DataFrame, keys: list[str], fraction: float, seed: int) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..constants import ALPHA, MIN_SITES, PERMUTATIONS
-from ..functions.columns import ratio
+from ..functions.columns import portable_hash, ratio
 from ..session import cut
 from .ordered import Ordered, group_sizes
 
@@ -61,7 +61,7 @@ def shuffled(values: DataFrame, rounds: int, seed: int, value: str = "value", sp
     """Every site with the value of another one, once per round; a round is a permutation."""
     placed = Ordered(values.select("site", value), [], ["site"], split_rows).number("_at").df
     drawn = values.select("site", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    drawn = drawn.withColumn("_h", F.xxhash64(F.lit(seed), "round", "site"))
+    drawn = drawn.withColumn("_h", portable_hash(F.lit(seed), "round", "site"))
     size = placed.count()
     ranked = Ordered(drawn, ["round"], ["_h", "site"], split_rows, sizes=(size, size * rounds)).number("_at").df
     return ranked.join(placed.select("_at", value), "_at").select("round", "site", value)

@@ -196,7 +196,9 @@ def attribution_ranking(spark, sf_dir):
     return out.withColumns({c: F.col(c).cast("long") for c in ("attribution_rank", "importance_rank")})
 
 
-@query("w28_balanced_folds")
+@query("w28_balanced_folds", JUDGED + """
+SELECT site, attack_type, CAST((row_number() OVER (PARTITION BY attack_type ORDER BY substr(md5('42:' || site), 1, 15), site) - 1) % 4 AS INTEGER) AS fold
+FROM (SELECT DISTINCT site, attack_type FROM ju)""")
 def balanced_folds(spark, sf_dir):
     """Every recording in one of four folds, round-robin within its type after a seeded shuffle."""
     runs = judged(spark, sf_dir).select("site", "attack_type").distinct()

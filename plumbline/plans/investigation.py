@@ -142,7 +142,7 @@ def event_by_id(spark, sf_dir):
     return B.events(spark, sf_dir).filter("event_id = 77").select("event_id", "site", "value")
 
 
-@query("o11_hash_sample")
+@query("o11_hash_sample", "SELECT event_id, value FROM events ORDER BY md5('42:' || event_id), event_id LIMIT 300")
 def hash_sample(spark, sf_dir):
     """A repeatable sample without replacement of 300 rows."""
     from ..operators.models import hash_sample as sample

@@ -95,12 +95,29 @@ def quadrant_counts(spark, sf_dir):
     return out.groupBy("quadrant").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a29_permutation_test")
+# The values by place in order of the sites; a seeded round gives each site another place.
+PLACED = """ra AS (SELECT c_custkey AS site, c_acctbal AS value, row_number() OVER (ORDER BY c_custkey) AS place FROM customer)"""
+SEEN = """count(*) AS n, 0::BIGINT AS n_isolates, true AS computable, CAST(NULL AS VARCHAR) AS reason"""
+
+
+@query("a29_permutation_test", MORAN + f""", {PLACED}, dr AS (
+  SELECT r, site, row_number() OVER (PARTITION BY r ORDER BY substr(md5('42:' || r || ':' || site), 1, 15), site) AS place FROM va, range(1, 1000) t(r)), sv AS (
+  SELECT r, dr.site, ra.value - m AS z FROM dr JOIN ra ON ra.place = dr.place, mu), sl AS (
+  SELECT r, kn.site, avg(sv.z) AS lag FROM kn JOIN sv ON sv.site = kn.neighbour GROUP BY r, kn.site), sm AS (
+  SELECT sum(z * lag) / sum(z * z) AS sim FROM sv JOIN sl USING (r, site) GROUP BY r), ob AS (
+  SELECT {SEEN}, sum(z * lag) / sum(z * z) AS i FROM zl), st AS (
+  SELECT avg(sim) AS a, stddev_pop(sim) AS s, count(*) FILTER (round(sim, 9) >= (SELECT round(i, 9) FROM ob)) AS c FROM sm)
+SELECT n, n_isolates, computable, reason, round(i, 6) AS morans_i, round(-1.0::DOUBLE / (n - 1), 6) AS expected_i, round(a, 6) AS sim_mean, round(s, 6) AS sim_std,
+  round((least(c, 999 - c) + 1) / 1000.0::DOUBLE, 6) AS p_value, round((i - a) / s, 6) AS z_score FROM ob, st""")
 def permutation_test(spark, sf_dir):
     return B.rounded(moran.permutation_test(balances(spark, sf_dir), edges(spark, sf_dir)))
 
 
-@query("a33_shuffled_control")
+@query("a33_shuffled_control", MORAN + f""", {PLACED}, dr AS (
+  SELECT site, row_number() OVER (ORDER BY substr(md5('7:1:' || site), 1, 15), site) AS place FROM va), sv AS (
+  SELECT dr.site, ra.value - m AS z FROM dr JOIN ra ON ra.place = dr.place, mu), sl AS (
+  SELECT kn.site, avg(sv.z) AS lag FROM kn JOIN sv ON sv.site = kn.neighbour GROUP BY kn.site)
+SELECT {SEEN}, round(sum(z * lag) / sum(z * z), 6) AS morans_i, round(-1.0::DOUBLE / (count(*) - 1), 6) AS expected_i FROM sv JOIN sl USING (site)""")
 def shuffled_control(spark, sf_dir):
     """Moran's I after the values of all sites changed places once."""
     mixed = moran.shuffled(balances(spark, sf_dir), 1, seed=7).drop("round")
