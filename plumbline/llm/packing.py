@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +18,22 @@ from plumbline.session import ship, stored
 
 CAPACITY = 4096
 END = 1
-CACHE = 400_000
+# Bytes of words and ids that a Python worker remembers, bytes of text cut into words at a time, words encoded at a time.
+CACHE_BYTES, PART_BYTES, LOT = 48 << 20, 1 << 20, 2000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+@lru_cache(maxsize=1)
+def _coder(vocabulary: str):
+    """The tokenizer, once for each Python worker and without threads of its own, and the ids of words met."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary)
+    tokenizer.encode_special_tokens = True
+    return tokenizer, {}
+
+
 def token_pieces(vocabulary: str, capacity: int, end_id: int):
     """Arrow function from (doc_id, text) to the pieces of each text.
 
@@ -26,22 +41,22 @@ def token_pieces(vocabulary: str, capacity: int, end_id: int):
     bounded cache; the parts themselves are encoded by the tokenizer.
     """
     def run(batches):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(vocabulary)
-        tokenizer.encode_special_tokens = True
-        known: dict[str, bytes] = {}
+        tokenizer, known = _coder(vocabulary)
+        held = sum(len(w) + len(c) + 160 for w, c in known.items())
         end = np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", PART_BYTES):
             rows = []
             texts = [(t or "").replace("\n", " ").split(" ") for t in batch.column("text").to_pylist()]
-            if len(known) > CACHE:
+            if held > CACHE_BYTES:
                 known.clear()
+                held = 0
             new = list({p for parts in texts for p in parts} - known.keys())
-            for at in range(0, len(new), 20_000):
-                part = new[at:at + 20_000]
+            for at in range(0, len(new), LOT):
+                part = new[at:at + LOT]
                 for word, coded in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[word] = np.array(coded.ids, "<u4").tobytes()
+                    ids = coded.ids
+                    known[word] = struct.pack(f"<{len(ids)}I", *ids)
+                    held += len(word) + 4 * len(ids) + 160
             for doc, parts in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
                 ids = b"".join(map(known.__getitem__, parts)) + end
                 n = len(ids) // 4
