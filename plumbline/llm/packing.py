@@ -29,16 +29,14 @@ def _coder(vocabulary: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(vocabulary)
-    tokenizer.encode_special_tokens = True
-    return tokenizer, {}
+    return Tokenizer.from_file(vocabulary), {}
 
 
 def token_pieces(vocabulary: str, capacity: int, end_id: int):
     """Arrow function from (doc_id, text) to the pieces of each text.
 
-    White space always separates tokens in this vocabulary, so the ids of a part between spaces are kept in a
-    bounded cache; the parts themselves are encoded by the tokenizer.
+    White space always separates tokens in this vocabulary, also the special ones, so the ids of a part between
+    spaces are kept in a bounded cache; the parts themselves are encoded by the tokenizer.
     """
     def run(batches):
         tokenizer, known = _coder(vocabulary)

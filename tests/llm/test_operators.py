@@ -60,6 +60,21 @@ def test_packing_places_every_token_once(docs, nothing, rows):
     assert packing.pack_documents(nothing).count() == 0
 
 
+def test_packing_keeps_special_tokens(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+    coder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["a b<|endoftext|> c", "<|startoftext|>Word<|endoftext|>", "x <|endoftext|>\n<|startoftext|> y", "<|endoftext|> " * 5000, "<|endof text|>"]
+    out = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    wanted = Counter()
+    for doc, text in enumerate(texts):
+        ids = [*coder.encode(text, add_special_tokens=False).ids, 1]
+        for k, at in enumerate(range(0, len(ids), 4096)):
+            wanted[doc, k, at, zlib.crc32(np.array(ids[at:at + 4096], "<u4").tobytes())] += 1
+    assert 49407 in coder.encode(texts[0], add_special_tokens=False).ids
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["ids_crc32"]) for r in out) == wanted
+
+
 def test_fullest_combination_equals_brute_force():
     pick = random.Random(1)
     for _ in range(60):
