@@ -42,14 +42,14 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of each row."""
+    """(doc_id, mark, fp) of each row; `mark` is the hash of the text."""
     def run(batches):
         for batch in slices(batches, "text"):
             fps = pa.array([fingerprint(t) for t in batch.column("text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), fps], ["doc_id", "mark", "fp"])
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 def _block(column, index: int):
@@ -184,7 +184,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of each row; component_id is the smallest doc_id reachable.
+    """(doc_id, mark, fp, root, component_id) of each row; root names the group, component_id is the smallest doc_id reachable.
 
     Rows with a null doc_id link like others but name no component (null if the group has no id at all).
     """
@@ -193,20 +193,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = stored(components(links(distinct)), "roots")
     named = stored(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "named")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = stored(named.join(ids, "root").select("fp", "component_id"), "members")
+    members = stored(named.join(ids, "root").select("fp", "root", "component_id"), "members")
     return rows.join(members, "fp")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each group: that of the smallest doc_id. Rows without an id stay, repeated ids appear once."""
-    found = stored(near_duplicates(docs), "groups")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = stored(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+def _one_each(docs: DataFrame, found: DataFrame, group: str) -> DataFrame:
+    """One row of each group of (doc_id, mark): that of the smallest doc_id, then mark. Rows without an id stay.
+
+    A row is told by its id and text, so rows that share an id only do not go with each other.
+    """
+    rows = stored(found.where("doc_id IS NOT NULL").groupBy(group, "doc_id", "mark").agg(F.count("*").alias("n")), "rows")
+    first = rows.groupBy(group).agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    kept = stored(rows.join(first, group).select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_of"), "n",
+                                                 (F.struct("doc_id", "mark") == F.col("first")).alias("stays")), "kept")
+    keyed = docs.withColumn("_mark", F.xxhash64("text"))
+    same = (F.col("doc_id").cast("long") == F.col("_doc")) & (F.col("_mark") == F.col("_of"))
+    left = keyed.join(kept.where("NOT stays"), same, "left_anti")
+    repeated = stored(kept.where("stays AND n > 1"), "repeated")
     if repeated.isEmpty():
-        return left
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(
-        left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+        return left.select(*docs.columns)
+    once = left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_mark"])
+    return left.join(repeated, same, "left_anti").union(once).select(*docs.columns)
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """One document of each group: that of the smallest doc_id. Rows without an id stay, repeated rows appear once."""
+    return _one_each(docs, stored(near_duplicates(docs).select("doc_id", "mark", "root"), "groups"), "root")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

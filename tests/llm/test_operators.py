@@ -106,6 +106,14 @@ def test_simhash_components(docs, nothing, rows, monkeypatch):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
+def test_rows_that_share_an_id_do_not_go_together(spark):
+    pick = random.Random(9)
+    near, alone, other = (" ".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=80)) for _ in range(3))
+    rows = [(1, near), (5, near.upper()), (5, alone), (5, other), (5, other), (None, near)]
+    out = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, out)) == Counter([(1, near), (5, alone), (5, other), (None, near)])
+
+
 def test_suffix_removal_equals_brute_force(docs, nothing, rows, monkeypatch):
     for group in (4096, 2):
         monkeypatch.setattr(suffixes, "GROUP", group)
