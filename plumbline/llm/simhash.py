@@ -19,6 +19,10 @@ PIVOTS = np.random.default_rng(7).integers(0, 1 << 64, 24, dtype=np.uint64)
 TILE = 2048
 # Rows of buckets that a task compares at a time, and the longest bucket that is compared step by step.
 LOT, RUN = 100_000, 256
+# The pipeline's contract: shingles of five words, Jaccard similarity.
+SIMILAR_WORDS, SIMILAR = 5, 0.8
+# One of so many texts is sampled for frequent shingles; sampled texts that make one frequent; frequent ones at most.
+SAMPLED, FREQUENT, LATE_KEYS = 16, 20, 200_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -221,6 +225,96 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     return _one_each(docs, stored(near_duplicates(docs).select("doc_id", "mark", "root"), "groups"), "root")
 
 
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """The different XXH64 of all runs of `words` words, sorted; a shorter text is one run, a wordless one has none."""
+    import xxhash
+
+    parts = (text or "").encode().translate(LOWER).split()
+    if not parts:
+        return np.zeros(0, np.int64)
+    h = xxhash.xxh64_intdigest
+    codes = [h(b" ".join(parts[i:i + words]), SEED) for i in range(max(1, len(parts) - words + 1))]
+    return np.unique(np.array(codes, np.uint64).view(np.int64))
+
+
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, mark, sid, h) of each row; `sid` stands for the set of shingles h."""
+    def run(batches):
+        for batch in slices(batches, "text"):
+            sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
+            sid = pa.array([_sid(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), sid, pa.array(sets, pa.list_(pa.int64()))],
+                                             ["doc_id", "mark", "sid", "h"])
+
+    ship(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text").mapInArrow(
+        run, "doc_id long, mark long, sid long, h array<long>")
+
+
+def _sid(found: np.ndarray) -> int:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of sets whose Jaccard similarity reaches `similarity`, by the sets themselves."""
+    pairs = stored(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    used = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+    known = stored(sets.select("sid", "h").join(used, "sid", "left_semi").groupBy("sid").agg(F.first("h").alias("h")), "sets")
+    one, two = (known.select(F.col("sid").alias(c), F.col("h").alias(f"h{c}")) for c in "ab")
+    both = F.size(F.array_intersect("ha", "hb"))
+    return pairs.join(one, "a").join(two, "b").where(both >= similarity * (F.size("ha") + F.size("hb") - both) - 1e-9).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILAR) -> DataFrame:
+    """(doc_id, mark, root) of each row; texts of Jaccard similarity `similarity` share a root, directly or by others.
+
+    No pair is missed: with all shingles in one order, two sets that similar share one of the first
+    n - ceil(similarity * n) + 1 of each. Frequent shingles of a sample stand last in that order, which changes the
+    work only. Sets first meet one set drawn for each shingle, so that dense groups need no pair lists; afterwards
+    only pairs of different groups are compared.
+    """
+    sets = _sets(docs, words)
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
+    counts = _sets(sample, words).select(F.explode("h").alias("key")).groupBy("key").count().where(F.col("count") > FREQUENT)
+    last = np.sort(np.array([r["key"] for r in counts.orderBy(F.desc("count"), "key").limit(LATE_KEYS).collect()], np.int64))
+
+    def prefix(batches):
+        for batch in batches:
+            keys = []
+            for found in batch.column("h"):
+                x = np.asarray(found.values, np.int64)
+                if len(last):
+                    late = last[np.minimum(np.searchsorted(last, x), len(last) - 1)] == x
+                    x = np.concatenate([x[~late], x[late]])
+                keys.append(x[:len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1])
+            sizes = pa.array([len(x) for x in batch.column("h")], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "mark", "sid")), sizes, pa.array(keys, pa.list_(pa.int64()))],
+                                             ["doc_id", "mark", "sid", "n", "keys"])
+
+    rows = stored(sets.mapInArrow(prefix, "doc_id long, mark long, sid long, n long, keys array<long>"), "prefixes")
+    met = stored(rows.where("n > 0").select(F.explode("keys").alias("key"), "sid", "n").distinct(), "met")
+    centre = met.groupBy("key").agg(F.min(F.struct(F.xxhash64("sid", "key").alias("_"), "sid", "n")).alias("c"), F.count("*").alias("m")).where("m > 1")
+    fits = F.least("n", "o") >= similarity * F.greatest("n", "o") - 1e-9
+    drawn = met.join(centre.select("key", F.col("c.sid").alias("b"), F.col("c.n").alias("o")), "key").where(fits)
+    first = stored(_similar(drawn.select(F.col("sid").alias("a"), "b"), sets, similarity), "drawn")
+    roots = stored(components(first).withColumnRenamed("fp", "sid"), "first-roots")
+    placed = met.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    open_ = stored(placed.join(mixed, "key", "left_semi"), "open")
+    others = open_.select("key", F.col("sid").alias("b"), F.col("n").alias("o"), F.col("root").alias("of"))
+    across = open_.join(others, "key").where((F.col("sid") < F.col("b")) & (F.col("root") != F.col("of")) & fits)
+    second = _similar(across.select(F.col("sid").alias("a"), "b"), sets, similarity)
+    final = stored(components(first.union(second)).withColumnRenamed("fp", "sid"), "similar-roots")
+    return rows.select("doc_id", "mark", "sid").join(final, "sid", "left").select("doc_id", "mark", F.coalesce("root", "sid").alias("root"))
+
+
+def distinct_by_similarity(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: float = SIMILAR) -> DataFrame:
+    """One document of each group of similar texts, as in `deduplicate`."""
+    return _one_each(docs, stored(similar_groups(docs, words, similarity), "groups"), "root")
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -114,6 +114,31 @@ def test_rows_that_share_an_id_do_not_go_together(spark):
     assert Counter(map(tuple, out)) == Counter([(1, near), (5, alone), (5, other), (None, near)])
 
 
+def test_pipeline_stage_finds_all_similar_texts(spark, docs, nothing, monkeypatch):
+    import corpus_pipeline
+    pick = random.Random(4)
+    rows = []
+    for k in range(30):
+        base = [f"v{pick.randrange(3000)}" for _ in range(pick.choice((8, 40, 60, 200, 600)))]
+        for _ in range(4):
+            copy = list(base)
+            for at in pick.sample(range(len(copy)), min(len(copy) // 4, pick.choice((0, 1, 2, 4, 12)))):
+                copy[at] = f"x{pick.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(len(rows), None), (len(rows) + 1, " "), (len(rows) + 2, "one two"), (len(rows) + 3, "One  two")]
+    sets = [frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").lower().split()) else frozenset() for _, t in rows]
+    near = np.array([[a == b or len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets])
+    least = np.arange(len(rows))
+    for _ in rows:
+        least = np.array([least[n].min() for n in near])
+    assert 30 < len(set(least.tolist())) < len(rows) - 20
+    for frequent in (20, 0):
+        monkeypatch.setattr(simhash, "FREQUENT", frequent), monkeypatch.setattr(simhash, "SAMPLED", 1 if not frequent else 16)
+        kept = corpus_pipeline.distinct(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+        assert sorted(r["doc_id"] for r in kept) == sorted(set(least.tolist()))
+    assert corpus_pipeline.distinct(spark, nothing, "").count() == 0
+
+
 def test_suffix_removal_equals_brute_force(docs, nothing, rows, monkeypatch):
     for group in (4096, 2):
         monkeypatch.setattr(suffixes, "GROUP", group)
