@@ -15,19 +15,25 @@ from pyspark.sql import types as T
 from plumbline.llm.common import slices, table
 from plumbline.session import ship, stored
 
-LABELLERS = ("marks", "capitals", "repeats", "columns", "variety", "plain")
+LABELLERS = ("marks", "capitals", "repeats", "columns", "variety", "phrases", "plain")
+TOXIC_LABELLERS = ("words", "pairs", "rows")
 DIMENSIONS, EPOCHS = 1 << 12, 30
 # Bound of the labelled sample that the scorer is fitted on.
 SAMPLE_ROWS = 6000
 REJECT = 0.5
+MARKS = ".,;:!?\"'()[]{}*#$%&<>|"
+# Bound of the rows of each side of labels.toxic that toxicity is learnt from, hashes of words and pairs, how much
+# likelier a mark of toxicity is in toxic rows, and the toxic rows and the G value that it takes.
+TOXIC_ROWS, WORD_BITS, ODDS, LEAST, G = 3000, 20, 4.0, 3, 12.0
 
 
 class Words:
-    """The words of a text: how many, how often each, and how many equal the one before."""
+    """The words of a text: how many, how often each, how many equal the one before, how many pairs were there before."""
 
     def __init__(self, text: str | None):
         words = (text or "").split()
         self.n, self.counts, self.same = len(words), Counter(words), sum(map(eq, words, words[1:]))
+        self.again = len(words) - 1 - len(set(zip(words, words[1:]))) if words else 0
 
     def where(self, holds) -> int:
         return sum(c for w, c in self.counts.items() if holds(w))
@@ -41,17 +47,19 @@ def votes(words: Words) -> list[int]:
     bars = words.counts["|"] / n
     repeat = words.same / n
     distinct = len(words.counts) / n
+    again = words.again / n
     return [0 if marked > 0.2 else 1 if marked < 0.02 else -1,
             0 if capital > 0.3 else 1 if capital < 0.02 else -1,
             0 if repeat > 0.2 else 1 if repeat < 0.02 else -1,
             0 if bars > 0.15 else 1 if not bars else -1,
             -1 if n < 20 else 0 if distinct < 0.15 else 1 if distinct > 0.3 else -1,
-            -1 if n < 5 else 1 if max(marked, capital, repeat, bars) < 0.05 else 0 if max(marked, capital, repeat, bars) > 0.25 else -1]
+            0 if n >= 8 and again > 0.5 else -1,
+            -1 if n < 5 else 1 if max(marked, capital, repeat, bars) < 0.05 and again < 0.3 else 0 if again > 0.5 or max(marked, capital, repeat, bars) > 0.25 else -1]
 
 
 def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed shapes of words and of word pairs, as shares of the text."""
-    shapes = {"same": words.same, "new": words.n - words.same} if words.n else {}
+    """Hashed shapes of words, and word pairs that are equal words or were there before, as shares of the text."""
+    shapes = {"same": words.same, "new": words.n - words.same, "again": words.again} if words.n else {}
     for w, c in words.counts.items():
         case = "A" if w.isupper() and len(w) > 1 else "a" if w.isalpha() or any(map(str.isalpha, w)) else "-"
         end = w[-1] if not w[-1].isalnum() else ""
@@ -64,11 +72,12 @@ def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 def em(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """(accuracies by class and labeller, posterior of good by pattern) from vote patterns and their counts."""
-    v = np.array([p for p, _ in patterns], np.int64).reshape(len(patterns), len(LABELLERS))
+    v = np.array([p for p, _ in patterns], np.int64).reshape(len(patterns), -1)
     n = np.array([c for _, c in patterns], np.float64)
     said = v >= 0
-    post = np.clip(np.where(said.any(1), (v * said).sum(1) / np.maximum(said.sum(1), 1), 0.5), 0.05, 0.95)
-    right = np.full((2, len(LABELLERS)), 0.8)
+    # A labeller looks for one defect only, so a bad vote counts twice at the start.
+    post = np.clip(np.where(said.any(1), 1 - 2 * (v == 0).sum(1) / np.maximum(said.sum(1), 1), 0.5), 0.05, 0.95)
+    right = np.full((2, v.shape[1]), 0.8)
     for _ in range(rounds):
         for c, weight in enumerate((1 - post, post)):
             w = (n * weight)[:, None] * said
@@ -82,7 +91,7 @@ def em(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple[
 def scored(docs: DataFrame) -> DataFrame:
     """Adds `_posterior` and `_score` (share of good) to the rows.
 
-    The votes of all rows are counted; at most 3**6 patterns reach the driver. The linear scorer is fitted on
+    The votes of all rows are counted; at most 3**7 patterns reach the driver. The linear scorer is fitted on
     SAMPLE_ROWS rows in the order of their hash. Null and wordless texts have no votes and score by the bias.
     """
     def vote(batches):
@@ -124,10 +133,14 @@ def scored(docs: DataFrame) -> DataFrame:
         for k, r in enumerate(rows):
             np.add.at(dense[k], np.searchsorted(used, np.array(r["i"], np.int64)), r["x"])
         y, w = np.array([r["y"] for r in rows]), np.zeros(len(used))
+        # Both sides count alike, however rare junk is.
+        good = y >= 0.5
+        share = np.where(good, good.mean(), 1 - good.mean())
+        weigh = 1 / share / len(np.unique(good)) / len(y)
         for _ in range(EPOCHS * 20):
             p = 1 / (1 + np.exp(-np.clip(dense @ w + bias, -30, 30)))
-            w -= 2.0 * (dense.T @ (p - y) / len(y) + 1e-4 * w)
-            bias -= 2.0 * (p - y).mean()
+            w -= 2.0 * (dense.T @ ((p - y) * weigh) + 1e-4 * w)
+            bias -= 2.0 * ((p - y) * weigh).sum()
         weights[used] = w
 
     def score(batches):
@@ -144,11 +157,96 @@ def scored(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(score, T.StructType([*docs.schema.fields, *more]))
 
 
-def keep(docs: DataFrame) -> DataFrame:
-    """The documents that the classifier accepts."""
-    return scored(docs).where(F.col("_score") >= REJECT).select(*docs.columns)
+def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the different words and word pairs of a text, without case and outer marks."""
+    words = [w for x in (text or "").lower().split() if (w := x.strip(MARKS))]
+    mask = (1 << WORD_BITS) - 1
+    one = {crc32(w.encode()) & mask for w in set(words)}
+    two = {crc32(f"{a} {b}".encode()) & mask for a, b in set(zip(words, words[1:]))}
+    return np.array(sorted(one), np.int64), np.array(sorted(two), np.int64)
+
+
+def _marked(sets: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """The weight (log odds) of each term that stands in toxic rows much more often than in clean ones; 0 of others."""
+    size = 1 << WORD_BITS
+    t, c = (np.bincount(np.concatenate([np.zeros(0, np.int64), *(s for s, x in zip(sets, toxic) if x == side)]), minlength=size) for side in (1, 0))
+    nt, nc = max(int(toxic.sum()), 1), max(int((1 - toxic).sum()), 1)
+    pt, pc, p = t / nt, c / nc, (t + c) / (nt + nc)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (np.where(t > 0, t * np.log(pt / p), 0) + np.where(c > 0, c * np.log(pc / p), 0))
+    odds = np.log((t + 0.5) / (nt + 1)) - np.log((c + 0.5) / (nc + 1))
+    return np.where((t >= LEAST) & (odds >= np.log(ODDS)) & (g >= G), odds, 0.0)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds `_toxic`, the posterior of toxic, to the rows.
+
+    Terms that mark toxic rows are learnt from at most TOXIC_ROWS rows of each side of labels.toxic, in the order of
+    their hash. Whether a text holds such words, such pairs, and the weight of both are three votes, which
+    expectation-maximisation over all rows weighs. Without toxic rows nothing is toxic.
+    """
+    spark = ship(docs.sparkSession)
+    known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("_doc")).agg(F.max("toxic").alias("toxic"))
+    picked = [tuple(r) for side in (0, 1) for r in known.where(F.col("toxic") == side).orderBy(F.xxhash64("_doc"), "_doc").limit(TOXIC_ROWS).collect()]
+    rows = []
+    if any(x for _, x in picked):
+        chosen = spark.createDataFrame(picked, "_doc long, toxic int")
+        sample = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(F.broadcast(chosen), "_doc").select("text", "toxic")
+
+        def gather(batches):
+            for batch in slices(batches, "text"):
+                found = [terms(t) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in (0, 1)), batch.column("toxic")], ["w", "p", "y"])
+
+        rows = sample.mapInArrow(gather, "w array<long>, p array<long>, y int").collect()
+    toxic = np.array([r["y"] for r in rows], np.int64)
+    if not toxic.any():
+        return docs.withColumn("_toxic", F.lit(0.0))
+    learnt = [[np.array(r[k], np.int64) for r in rows] for k in "wp"]
+    weights = [_marked(sets, toxic) for sets in learnt]
+    total = sum(np.array([w[x].sum() for x in sets]) for w, sets in zip(weights, learnt))
+    # The weight from which a row of the sample is rather toxic than clean, both sides counting alike.
+    levels = np.unique(total)
+    errors = [(total[toxic == 1] < x).mean() + ((total[toxic == 0] >= x).mean() if (toxic == 0).any() else 0) for x in levels]
+    level = max(float(levels[int(np.argmin(errors))]), float(np.log(ODDS)))
+    sparse = [(np.flatnonzero(w), w[w > 0]) for w in weights]
+
+    def vote(text):
+        held = []
+        for (at, weight), x in zip(sparse, terms(text)):
+            held.append(float(weight[np.isin(at, x, assume_unique=True)].sum()))
+        return [0 if held[0] >= level else 1, 0 if held[1] >= level else -1, 0 if sum(held) >= level else 1]
+
+    def judge(batches):
+        for batch in slices(batches, "text"):
+            v = pa.array([vote(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, v], [*batch.schema.names, "_v"])
+
+    voted = stored(docs.mapInArrow(judge, T.StructType([*docs.schema.fields, T.StructField("_v", T.ArrayType(T.IntegerType()))])), "toxic-votes")
+    counted = [(tuple(r["_v"]), r["n"]) for r in voted.groupBy("_v").agg(F.count("*").alias("n")).collect()]
+    if not counted:
+        return docs.withColumn("_toxic", F.lit(0.0))
+    _, post = em(counted)
+    belief = F.create_map(*[x for (p, _), y in zip(counted, post) for x in (F.lit(",".join(map(str, p))), F.lit(float(1 - y)))])
+    return voted.withColumn("_toxic", belief[F.concat_ws(",", F.col("_v").cast("array<string>"))]).drop("_v")
+
+
+def accepted():
+    return (F.col("_score") >= REJECT) & (F.col("_toxic") < REJECT)
+
+
+def judged(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Adds `_posterior`, `_score` and `_toxic`; without labels nothing is toxic."""
+    found = scored(docs)
+    return found.withColumn("_toxic", F.lit(0.0)) if labels is None else toxicity(found, labels)
+
+
+def keep(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """The documents that both the quality classifier and, with labels, the toxicity classifier accept."""
+    return judged(docs, labels).where(accepted()).select(*docs.columns)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", F.round("_posterior", 6).alias("posterior"), F.round("_score", 6).alias("score"), (F.col("_score") >= REJECT).alias("kept"))
+    found = judged(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", F.round("_posterior", 6).alias("posterior"), F.round("_score", 6).alias("score"),
+                        F.round("_toxic", 6).alias("toxic"), accepted().alias("kept"))

@@ -211,6 +211,19 @@ def test_classifier_separates_junk(spark, nothing):
     assert quality.scored(nothing).count() == 0
 
 
+def test_toxic_texts_of_good_form_and_repeated_phrases_are_rejected(spark):
+    pick = random.Random(6)
+    def prose(*extra):
+        words = [f"{a}{b}{c}" for a, b, c in zip(*(pick.choices(x, k=80) for x in ("bdfglm", "aeiou", ("nd", "st", "re"))))]
+        for x in extra:
+            words.insert(pick.randrange(80), x)
+        return " ".join(words)
+    rows = [(i, prose(pick.choice(("idiot", "moron"))) if i % 5 == 0 else prose()) for i in range(400)] + [(1000 + i, f"buy now cheap{i} " * 30) for i in range(12)]
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in quality.keep(spark.createDataFrame(rows, "doc_id long, text string"), labels).collect()}
+    assert kept == {i for i in range(400) if i % 5}
+
+
 def test_licenses_by_wording(spark, nothing):
     frame = spark.createDataFrame([(1, "x\nReleased under the MIT License."), (2, "a licence to speak"), (3, None),
                                    (4, "This work is licensed under the GNU General Public License, version 3.")], "doc_id long, text string")
