@@ -1,6 +1,6 @@
 """The queries of the corpus operators and their SQL."""
 
-from plumbline.llm import decontaminate, licenses, pii, quality, rules, suffixes, warc
+from plumbline.llm import decontaminate, divergence, licenses, pii, quality, rules, suffixes, warc
 from plumbline.llm.packing import op6
 from plumbline.llm.sharding import op2
 from plumbline.llm.simhash import op10
@@ -16,5 +16,6 @@ QUERIES = {
     "op8_conditional_license": licenses.op8,
     "op9_warc_zstd": warc.op9,
     "op10_pivot_simhash": op10,
+    "op11_row_accumulation": divergence.op11,
 }
-ORACLES: dict[str, str] = {"op3_fm_index": decontaminate.SQL, "op9_warc_zstd": warc.SQL}
+ORACLES: dict[str, str] = {"op3_fm_index": decontaminate.SQL, "op9_warc_zstd": warc.SQL, "op11_row_accumulation": divergence.SQL}
