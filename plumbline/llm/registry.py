@@ -1,6 +1,6 @@
 """The queries of the corpus operators and their SQL."""
 
-from plumbline.llm import decontaminate, divergence, forest, licenses, pii, quality, rules, suffixes, warc
+from plumbline.llm import clustering, decontaminate, divergence, forest, licenses, pii, quality, rules, suffixes, warc
 from plumbline.llm.packing import op6
 from plumbline.llm.sharding import op2
 from plumbline.llm.simhash import op10
@@ -18,5 +18,7 @@ QUERIES = {
     "op10_pivot_simhash": op10,
     "op11_row_accumulation": divergence.op11,
     "op12_prefix_forest": forest.op12,
+    "op13_heap_bounds": clustering.op13,
 }
-ORACLES: dict[str, str] = {"op3_fm_index": decontaminate.SQL, "op9_warc_zstd": warc.SQL, "op11_row_accumulation": divergence.SQL}
+ORACLES: dict[str, str] = {"op3_fm_index": decontaminate.SQL, "op9_warc_zstd": warc.SQL, "op11_row_accumulation": divergence.SQL,
+                           "op13_heap_bounds": clustering.SQL}
