@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -15,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..constants import THRESHOLD
 from ..functions.columns import portable_hash, severity, verdict
+from ..session import fresh_path
 from .ordered import percentile_columns
 
 # Columns of a feature table that a model must not see (fixed values).
@@ -37,8 +41,30 @@ class Scorer:
     facts: dict = field(default_factory=dict)
 
     @property
-    def tag(self) -> dict[str, str]:
-        return {"version": self.version, "threshold": repr(self.threshold), "features": "\n".join(self.features)}
+    def tag(self) -> str:
+        """Names the model: version, content, threshold and ordered features, each by the start of its hash."""
+        content, features = self.facts.get("content_sha256", "unknown"), _digest("\n".join(self.features))
+        return f"{self.version}+{content[:12]}+t{self.threshold:.4f}+f{features[:8]}"
+
+
+def stamped(scorer: Scorer, spark: SparkSession) -> Scorer:
+    """The scorer with a hash of its contents: all nodes or weights of the fitted model and the values filled in for gaps.
+
+    Rows are hashed where they lie and joined without order, so equal models have equal hashes however they are stored.
+    """
+    if "content_sha256" not in scorer.facts:
+        path = fresh_path(spark, "stamp")
+        scorer.pipeline.stages[-1].save(path)
+        rows = spark.read.parquet(f"{path}/data")
+        parts = rows.select(F.xxhash64(F.to_json(F.struct(*rows.columns))).alias("h")).agg(
+            F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("n")).first()
+        filled = [s.getStatement() for s in scorer.pipeline.stages if hasattr(s, "getStatement")]
+        scorer.facts["content_sha256"] = _digest("\n".join([str(parts["x"]), str(parts["s"]), str(parts["n"]), *filled]))
+    return scorer
+
+
+def _digest(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
 
 
 def feature_columns(df: DataFrame, excluded=EXCLUDED) -> list[str]:
@@ -94,8 +120,9 @@ def _fit(df: DataFrame, features: list[str], classifier) -> PipelineModel:
 
 def fit_forest(df: DataFrame, features: list[str], label: str, trees: int = 300, depth: int = 20,
                seed: int = 42) -> PipelineModel:
+    # Statistics of more nodes fit into one pass over the rows.
     forest = RandomForestClassifier(featuresCol="_features", labelCol=label, weightCol="weight", numTrees=trees,
-                                    maxDepth=depth, seed=seed)
+                                    maxDepth=depth, seed=seed, maxMemoryInMB=1024)
     return _fit(balanced(df, label), features, forest)
 
 
@@ -119,13 +146,18 @@ def score(scorer: Scorer, df: DataFrame) -> DataFrame:
         "predicted_label": verdict(p, scorer.threshold), "severity": severity(p, scorer.floor, scorer.ceiling)})
 
 
+def _side_by_side(fits: list[Callable[[], PipelineModel]], width: int = 4) -> list[PipelineModel]:
+    """Models fitted at the same time: a fit is many short jobs that leave executors idle between them."""
+    wrap = inheritable_thread_target(SparkSession.getActiveSession())
+    with ThreadPool(min(width, len(fits))) as pool:
+        return pool.map(lambda run: run(), [wrap(f) for f in fits])
+
+
 def out_of_fold(df: DataFrame, fold: str, folds: int, fit: Callable[[DataFrame], PipelineModel],
                 out: str = "probability") -> DataFrame:
     """Score every row with a model that saw none of its fold; one row in, one row out."""
-    parts = []
-    for i in range(folds):
-        model = fit(df.filter(F.col(fold) != i))
-        parts.append(probability(model, df.filter(F.col(fold) == i), out))
+    fitted = _side_by_side([lambda i=i: fit(df.filter(F.col(fold) != i)) for i in range(folds)])
+    parts = [probability(model, df.filter(F.col(fold) == i), out) for i, model in enumerate(fitted)]
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
@@ -144,15 +176,15 @@ def calibrated(df: DataFrame, fold: str, folds: int, label: str, fit: Callable[[
 
     Each inner model is calibrated on the fold it left out; the outer fold gets their mean.
     """
+    pairs = [(i, j) for i in range(folds) for j in range(folds) if i != j]
+    models = dict(zip(pairs, _side_by_side(
+        [lambda i=i, j=j: fit(df.filter((F.col(fold) != i) & (F.col(fold) != j))) for i, j in pairs]), strict=True))
     result = None
     for i in range(folds):
-        held, rest = df.filter(F.col(fold) == i), df.filter(F.col(fold) != i)
-        names = []
+        held, names = df.filter(F.col(fold) == i), [f"_c{j}" for j in range(folds) if j != i]
         for j in (x for x in range(folds) if x != i):
-            model = fit(rest.filter(F.col(fold) != j))
-            inner = probability(model, rest.filter(F.col(fold) == j), "_raw")
-            held = _apply(_calibrator(inner, label, method), probability(model, held, "_raw"), method, f"_c{j}")
-            names.append(f"_c{j}")
+            inner = probability(models[i, j], df.filter(F.col(fold) == j), "_raw")
+            held = _apply(_calibrator(inner, label, method), probability(models[i, j], held, "_raw"), method, f"_c{j}")
         mean = sum((F.col(c) for c in names[1:]), F.col(names[0])) / len(names)
         part = held.withColumn(out, mean).drop(*names)
         result = part if result is None else result.unionByName(part)
@@ -162,9 +194,15 @@ def calibrated(df: DataFrame, fold: str, folds: int, label: str, fit: Callable[[
 def _calibrator(df: DataFrame, label: str, method: str):
     if method == "isotonic":
         return IsotonicRegression(featuresCol="_raw", labelCol=label, predictionCol="_cal").fit(df)
-    ready = VectorAssembler(inputCols=["_raw"], outputCol="_v").transform(df)
-    return LogisticRegression(featuresCol="_v", labelCol=label, probabilityCol="_pc", rawPredictionCol="_rc",
-                              predictionCol="_cal").fit(ready)
+    # Targets drawn in by the size of their class; a row counts for both sides, each by its share.
+    counts = df.agg(F.count_if(F.col(label) == 1).alias("n1"), F.count_if(F.col(label) == 0).alias("n0")).first()
+    high, low = (counts["n1"] + 1) / (counts["n1"] + 2), 1 / (counts["n0"] + 2)
+    target = F.when(F.col(label) == 1, F.lit(high)).otherwise(F.lit(low))
+    sides = F.explode(F.array(F.struct(F.lit(1.0).alias("y"), target.alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - target).alias("w"))))
+    both = df.select("_raw", sides.alias("_s")).select("_raw", F.col("_s.y").alias("_y"), F.col("_s.w").alias("_w"))
+    ready = VectorAssembler(inputCols=["_raw"], outputCol="_v").transform(both)
+    return LogisticRegression(featuresCol="_v", labelCol="_y", weightCol="_w", probabilityCol="_pc", rawPredictionCol="_rc",
+                              predictionCol="_cal", maxIter=200, tol=1e-10).fit(ready)
 
 
 def _apply(model, df: DataFrame, method: str, out: str) -> DataFrame:
