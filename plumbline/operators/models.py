@@ -170,21 +170,27 @@ def once_per_row(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFr
     return before.select(*keys).join(counts, keys, "left").filter(F.coalesce("scores", F.lit(0)) != 1)
 
 
+def inner_fits(df: DataFrame, fold: str, folds: int, fit: Callable[[DataFrame], PipelineModel]) -> dict[frozenset[int], PipelineModel]:
+    """A model for each two folds that it has not seen; which of the two is the outer one makes no difference to it."""
+    pairs = [(i, j) for i in range(folds) for j in range(i)]
+    found = _side_by_side([lambda i=i, j=j: fit(df.filter((F.col(fold) != i) & (F.col(fold) != j))) for i, j in pairs])
+    return {frozenset(p): m for p, m in zip(pairs, found, strict=True)}
+
+
 def calibrated(df: DataFrame, fold: str, folds: int, label: str, fit: Callable[[DataFrame], PipelineModel],
-               method: str = "sigmoid", out: str = "calibrated") -> DataFrame:
+               method: str = "sigmoid", out: str = "calibrated", fitted: dict[frozenset[int], PipelineModel] | None = None) -> DataFrame:
     """Out-of-fold calibrated scores with an inner loop over the remaining folds.
 
-    Each inner model is calibrated on the fold it left out; the outer fold gets their mean.
+    Each inner model is calibrated on the fold it left out; the outer fold gets their mean. `fitted` are `inner_fits`
+    made before, so that several methods share them.
     """
-    pairs = [(i, j) for i in range(folds) for j in range(folds) if i != j]
-    models = dict(zip(pairs, _side_by_side(
-        [lambda i=i, j=j: fit(df.filter((F.col(fold) != i) & (F.col(fold) != j))) for i, j in pairs]), strict=True))
+    models = fitted or inner_fits(df, fold, folds, fit)
     result = None
     for i in range(folds):
         held, names = df.filter(F.col(fold) == i), [f"_c{j}" for j in range(folds) if j != i]
         for j in (x for x in range(folds) if x != i):
-            inner = probability(models[i, j], df.filter(F.col(fold) == j), "_raw")
-            held = _apply(_calibrator(inner, label, method), probability(models[i, j], held, "_raw"), method, f"_c{j}")
+            inner = probability(models[frozenset((i, j))], df.filter(F.col(fold) == j), "_raw")
+            held = _apply(_calibrator(inner, label, method), probability(models[frozenset((i, j))], held, "_raw"), method, f"_c{j}")
         mean = sum((F.col(c) for c in names[1:]), F.col(names[0])) / len(names)
         part = held.withColumn(out, mean).drop(*names)
         result = part if result is None else result.unionByName(part)

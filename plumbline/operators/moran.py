@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import ALPHA, MIN_SITES, PERMUTATIONS
-from ..functions.columns import portable_hash, ratio
+from ..functions.bijection import place
+from ..functions.columns import ratio
 from ..session import cut
-from .ordered import Ordered, group_sizes
+from .ordered import Ordered, sized
 
 
 def _with_one(df: DataFrame, row: DataFrame) -> DataFrame:
@@ -57,14 +56,18 @@ def global_moran(values: DataFrame, edges: DataFrame, by: list[str] | None = Non
     return out.drop("_cross", "_square", "_sd")
 
 
+def _placed(values: DataFrame, split_rows=None) -> tuple[DataFrame, int]:
+    """The rows with their position `_at` from 0 in the order of the sites, and how many there are."""
+    rows = cut(Ordered(values, [], ["site"], split_rows).number("_at").df.withColumn("_at", F.col("_at") - 1))
+    return rows, rows.count()
+
+
 def shuffled(values: DataFrame, rounds: int, seed: int, value: str = "value", split_rows=None) -> DataFrame:
-    """Every site with the value of another one, once per round; a round is a permutation."""
-    placed = Ordered(values.select("site", value), [], ["site"], split_rows).number("_at").df
-    drawn = values.select("site", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    drawn = drawn.withColumn("_h", portable_hash(F.lit(seed), "round", "site"))
-    size = placed.count()
-    ranked = Ordered(drawn, ["round"], ["_h", "site"], split_rows, sizes=(size, size * rounds)).number("_at").df
-    return ranked.join(placed.select("_at", value), "_at").select("round", "site", value)
+    """Every site with the value of another one, once per round; a round is a permutation of the positions."""
+    placed, n = _placed(values.select("site", value), split_rows)
+    drawn = placed.select("site", "_at", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    there = drawn.select("round", "site", place("_at", "round", n, rounds, seed).alias("_to"))
+    return there.join(sized(placed.select(F.col("_at").alias("_to"), value)), "_to").select("round", "site", value)
 
 
 def permutation_test(values: DataFrame, edges: DataFrame, rounds: int = PERMUTATIONS, seed: int = 42,
@@ -83,67 +86,42 @@ def permutation_test(values: DataFrame, edges: DataFrame, rounds: int = PERMUTAT
         "z_score": ratio(F.col("morans_i") - F.col("sim_mean"), F.col("sim_std"))}).drop("_larger")
 
 
-def _draws(sites: int, most: int, rounds: int, seed: int, spark) -> DataFrame:
-    """For every round, `most` distinct positions out of sites - 1, in drawing order.
-
-    Every position has a number for the round, and those of the least numbers are drawn, at any number of sites.
-    Each batch of positions hands on its own least ones only.
-    """
-    def least(batches):
-        for pdf in batches:
-            at = pdf["id"].to_numpy()
-            spread = _mixed(at.astype("uint64"))
-            take = min(most, len(at))
-            for number in range(1, rounds + 1):
-                turn = _mixed(spread ^ _mixed(np.array([seed * 1_000_003 + number], "uint64")))
-                best = np.argpartition(turn, take - 1)[:take]
-                yield pd.DataFrame({"round": number, "at": at[best], "turn": turn[best].view("int64")})
-
-    picked = spark.range(sites - 1).mapInPandas(least, "round long, at long, turn long")
-    first = F.row_number().over(Window.partitionBy("round").orderBy(F.shiftrightunsigned("turn", 1), "turn", "at"))
-    return picked.withColumn("nth", first).filter(F.col("nth") <= most)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """64-bit numbers with their bits mixed."""
-    x = x + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def local_index(values: DataFrame, edges: DataFrame, value: str = "value") -> DataFrame:
+    """Deviation, lag and local index of every site; NULL where all values are equal."""
+    rows = lagged(values, edges, None, value)
+    facts = rows.agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("z") * F.col("z")).alias("_square"))
+    return _with_one(rows, facts).withColumn("local_i", F.col("z") * F.col("lag") * ratio(F.col("_n") - 1, F.col("_square"))).drop("_n", "_square")
 
 
 def local_moran(values: DataFrame, edges: DataFrame, rounds: int = PERMUTATIONS, seed: int = 42,
                 value: str = "value", alpha: float = ALPHA, split_rows=None) -> DataFrame:
     """Local index, conditional pseudo p and quadrant (1 HH, 2 LH, 3 LL, 4 HL, 0 not significant).
 
-    A round draws positions among the other sites once for all sites: counted without the site
-    itself, a position means the same site or the next one. So a round is described by as many value
-    pairs as the largest degree, and every site compares itself with all rounds where it is. Only
-    that description, rounds times degree, leaves Spark. A site without neighbours has no p.
+    A round ranks all sites by one permutation. The neighbours drawn for a site are the sites of the first ranks, as many
+    as its degree, without itself: the running sum up to its degree, or, if it is among them, up to one rank more less
+    its own value. So a round is known by its running sums up to the largest degree, and a site needs its rank only. A
+    site without neighbours has no p.
     """
     rows = lagged(values, edges, None, value)
-    numbered = cut(Ordered(rows, [], ["site"], split_rows, group_sizes(values, [])).number("_at").df.withColumn("_at", F.col("_at") - 1))
-    facts = numbered.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("z") * F.col("z")).alias("square"),
-                         F.max("degree").alias("most")).first()
-    n, square, most = facts["n"], facts["square"], facts["most"]
+    placed, n = _placed(rows, split_rows)
+    facts = placed.agg(F.sum(F.col("z") * F.col("z")).alias("square"), F.max("degree").alias("most")).first()
+    square, most = facts["square"], facts["most"]
     if n < 2 or not square or not most:
         blank = {"local_i": "double", "p_value": "double", "quadrant": "int"}
         return rows.select("site", value, "z", "lag", *[F.lit(None).cast(t).alias(c) for c, t in blank.items()])
-    draws = _draws(n, most, rounds, seed, values.sparkSession)
-    low = numbered.select(F.col("_at").alias("at"), F.col("z").alias("low"))
-    high = numbered.select((F.col("_at") - 1).alias("at"), F.col("z").alias("high"))
-    drawn = draws.join(low, "at").join(high, "at").select("round", "nth", "at", "low", "high")
-    table = drawn.toPandas().sort_values(["round", "nth"])
-    at, lows, highs = (table[c].to_numpy().reshape(rounds, most) for c in ("at", "low", "high"))
-    scale = (n - 1) / square
-
-    def compare(batches):
-        for pdf in batches:
-            yield pdf.assign(_bigger=_rounds_above(pdf, at, lows, highs, scale))
-
-    fields = T.StructType([*numbered.schema.fields, T.StructField("_bigger", T.LongType())])
-    c = F.col
-    out = numbered.mapInPandas(compare, fields).withColumn("local_i", c("z") * c("lag") * scale)
+    c, scale, spark = F.col, (n - 1) / square, values.sparkSession
+    first = spark.range(min(most + 1, n)).select(c("id").alias("_rank"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    drawn = first.withColumn("_at", place("_rank", "round", n, rounds, seed, inverse=True)).join(placed.select("_at", "z"), "_at")
+    upto = Ordered(drawn, ["round"], ["_rank"], split_rows, (min(most + 1, n), rounds * min(most + 1, n))).running(_sum=("sum", c("z"))).df
+    sums = cut(upto.select("round", (c("_rank") + 1).alias("_k"), "_sum"))
+    every = placed.filter("degree > 0").select("site", "_at", "z", "lag", "degree", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    ranked = every.withColumn("_in", place("_at", "round", n, rounds, seed) < c("degree"))
+    # A site with all others for neighbours always draws them all.
+    simulated = ranked.withColumn("_k", F.when(c("_in"), c("degree") + 1).otherwise(c("degree"))).join(sized(sums), ["round", "_k"])
+    around = F.when(c("_in"), c("_sum") - c("z")).otherwise(c("_sum")) / c("degree")
+    bigger = simulated.groupBy("site").agg(F.count_if(
+        F.round(c("z") * around * scale, 9) >= F.round(c("z") * c("lag") * scale, 9)).alias("_bigger"))
+    out = placed.join(bigger, "site", "left").withColumn("local_i", c("z") * c("lag") * scale)
     p = F.when(c("degree") > 0, (F.least(c("_bigger"), F.lit(rounds) - c("_bigger")) + 1) / F.lit(float(rounds + 1)))
     up, around = c("z") > 0, c("lag") > 0
     kind = F.when(up & around, 1).when(~up & around, 2).when(~up & ~around, 3).otherwise(4)
@@ -152,21 +130,6 @@ def local_moran(values: DataFrame, edges: DataFrame, rounds: int = PERMUTATIONS,
         "site", value, "z", "lag", "local_i", "p_value", "quadrant")
 
 
-def _rounds_above(pdf: pd.DataFrame, at, lows, highs, scale: float) -> np.ndarray:
-    """Per site, the rounds whose simulated index is not below the observed one."""
-    mine, degree = pdf["_at"].to_numpy(), pdf["degree"].to_numpy()
-    observed = np.round(pdf["z"].to_numpy() * pdf["lag"].to_numpy() * scale, 9)
-    out = np.zeros(len(pdf), dtype="int64")
-    for k in np.unique(degree[degree > 0]):
-        total = np.zeros((int((degree == k).sum()), at.shape[0]))
-        where = np.flatnonzero(degree == k)
-        for j in range(k):
-            total += np.where(at[None, :, j] < mine[where, None], lows[None, :, j], highs[None, :, j])
-        simulated = np.round(pdf["z"].to_numpy()[where, None] * total / k * scale, 9)
-        out[where] = (simulated >= observed[where, None]).sum(axis=1)
-    return out
-
-
 def scatter_line(values: DataFrame, edges: DataFrame, value: str = "value") -> DataFrame:
     """Line through the points (deviation, lag)."""
     rows = lagged(values, edges, None, value)

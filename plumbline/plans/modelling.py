@@ -45,6 +45,16 @@ def _fitted(app, sf_dir):
     return forest(vectors(SparkSession.getActiveSession(), sf_dir))
 
 
+@lru_cache(maxsize=4)
+def _inner(app, sf_dir):
+    return models.inner_fits(folded(SparkSession.getActiveSession(), sf_dir), "fold", FOLDS, forest)
+
+
+def calibrated(spark, sf_dir, method):
+    fitted = _inner(spark.sparkContext.applicationId, sf_dir)
+    return models.calibrated(folded(spark, sf_dir), "fold", FOLDS, "y", forest, method, fitted=fitted)
+
+
 def scorer(spark, sf_dir):
     return models.Scorer(_fitted(spark.sparkContext.applicationId, sf_dir), FEATURES, threshold=0.5, floor=0.3, ceiling=0.7)
 
@@ -109,16 +119,26 @@ def fold_overlap(spark, sf_dir):
 
 @query("m08_sigmoid_calibration")
 def sigmoid_calibration(spark, sf_dir):
-    out = models.calibrated(folded(spark, sf_dir), "fold", FOLDS, "y", forest, "sigmoid")
+    out = calibrated(spark, sf_dir, "sigmoid")
     return metrics.probability_loss(out, "y", "calibrated")
 
 
 @query("m08_isotonic_calibration")
 def isotonic_calibration(spark, sf_dir):
-    out = models.calibrated(folded(spark, sf_dir), "fold", FOLDS, "y", forest, "isotonic")
+    out = calibrated(spark, sf_dir, "isotonic")
     return metrics.probability_loss(out, "y", "calibrated")
 
 
+@query("m08_calibrated_facts", """SELECT m.method, count(*) AS n, 0::BIGINT AS out_of_range, 0::BIGINT AS twice
+FROM embeddings, (VALUES ('sigmoid'), ('isotonic')) m(method) GROUP BY m.method""")
+def calibrated_facts(spark, sf_dir):
+    """Both methods give every row one probability."""
+    parts = [calibrated(spark, sf_dir, m).groupBy("vec_id").agg(F.count("calibrated").alias("c"), F.max("calibrated").alias("p")).withColumn("method", F.lit(m))
+             for m in ("sigmoid", "isotonic")]
+    return parts[0].unionByName(parts[1]).groupBy("method").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("p").between(0, 1)).alias("out_of_range"), F.count_if(F.col("c") != 1).alias("twice"))
+
+
 @query("m09_o09_importances")
 def importances(spark, sf_dir):
     return models.importances(scorer(spark, sf_dir).pipeline, FEATURES, spark).orderBy(F.desc("importance"), "feature").limit(10)

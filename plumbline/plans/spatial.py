@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import bijection
 from ..operators import moran, neighbours
 from . import bindings as B
 from .registry import query
@@ -80,29 +81,51 @@ def global_moran(spark, sf_dir):
 @query("a30_local_index", MORAN + """
 SELECT site, round(z * lag * (n - 1) / (SELECT sum(z * z) FROM ze), 6) AS local_i, round(lag, 6) AS lag FROM zl""")
 def local_index(spark, sf_dir):
-    out = moran.local_moran(balances(spark, sf_dir), edges(spark, sf_dir), rounds=19)
-    return B.rounded(out.select("site", "local_i", "lag"))
+    return B.rounded(moran.local_index(balances(spark, sf_dir), edges(spark, sf_dir)).select("site", "local_i", "lag"))
 
 
-@query("a30_local_moran")
+def places(rounds: int, seed: int) -> str:
+    """SQL of the keyed permutations: pl(r, place, y) has where each round puts each place of the sites in order."""
+    def once(source):
+        out = f"SELECT *, y // w2 AS hi, y % w2 AS lo FROM ({source})"
+        for s in range(bijection.STEPS):
+            mine, other, size = ("hi", "lo", "w1") if s % 2 == 0 else ("lo", "hi", "w2")
+            one, two = f"h[{2 * s + 1}]", f"h[{2 * s + 2}]"
+            drawn = f"(({other} * (1 + {one} % 1073741824) + ({one} >> 30)) % {bijection.FIRST} * (1 + {two} % 1073741824) + ({two} >> 30)) % {bijection.SECOND} % {size}"
+            out = f"SELECT * REPLACE (({mine} + {drawn}) % {size} AS {mine}) FROM ({out})"
+        return f"SELECT r, h, n, w1, w2, place, hi * w2 + lo AS y FROM ({out})"
+
+    return f"""ra AS (SELECT c_custkey AS site, c_acctbal AS value, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer), dm AS (
+  SELECT n, w1, (n + w1 - 1) // w1 AS w2 FROM (SELECT count(*) AS n, greatest(floor(sqrt(count(*)))::BIGINT, 1) AS w1 FROM customer)), ky AS (
+  SELECT r, list(('0x' || substr(md5('{seed}:' || r || ':' || i), 1, 15))::BIGINT ORDER BY i) AS h FROM range(1, {rounds + 1}) t(r), range({2 * bijection.STEPS}) u(i) GROUP BY r), wk AS (
+  {once("SELECT r, h, n, w1, w2, place, place AS y FROM ra, ky, dm")} UNION ALL {once("SELECT * FROM wk WHERE y >= n")}), pl AS (SELECT r, place, y FROM wk WHERE y < n)"""
+
+
+RECURSIVE = MORAN.replace("WITH", "WITH RECURSIVE", 1)
+SEEN = """count(*) AS n, 0::BIGINT AS n_isolates, true AS computable, CAST(NULL AS VARCHAR) AS reason"""
+LOCAL = RECURSIVE + f""", {places(999, 42)}, rk AS (SELECT r, site, z, y FROM pl JOIN ra USING (place) JOIN ze USING (site)), cu AS (
+  SELECT r, y + 1 AS k, s FROM (SELECT r, y, sum(z) OVER (PARTITION BY r ORDER BY y) AS s FROM rk) WHERE y <= 5), sc AS (
+  SELECT (count(*) - 1) / sum(z * z) AS scale FROM ze), si2 AS (
+  SELECT rk.site, count(*) FILTER (round(rk.z * (CASE WHEN y < 5 THEN s - rk.z ELSE s END) / 5 * scale, 9) >= round(zl.z * lag * scale, 9)) AS c
+  FROM rk JOIN cu ON cu.r = rk.r AND cu.k = CASE WHEN y < 5 THEN 6 ELSE 5 END JOIN zl ON zl.site = rk.site, sc GROUP BY rk.site), lo AS (
+  SELECT zl.site, value, zl.z, lag, zl.z * lag * scale AS local_i, (least(c, 999 - c) + 1) / 1000.0::DOUBLE AS p_value FROM zl JOIN si2 USING (site) JOIN va USING (site), sc), lm AS (
+  SELECT *, CASE WHEN p_value >= 0.05 THEN 0 WHEN z > 0 AND lag > 0 THEN 1 WHEN z <= 0 AND lag > 0 THEN 2 WHEN z <= 0 THEN 3 ELSE 4 END AS quadrant FROM lo)"""
+
+
+@query("a30_local_moran", LOCAL + """
+SELECT site, round(value, 6) AS value, round(z, 6) AS z, round(lag, 6) AS lag, round(local_i, 6) AS local_i, round(p_value, 6) AS p_value, quadrant FROM lm""")
 def local_moran(spark, sf_dir):
     return B.rounded(moran.local_moran(balances(spark, sf_dir), edges(spark, sf_dir)))
 
 
-@query("a48_quadrant_counts")
+@query("a48_quadrant_counts", LOCAL + " SELECT quadrant, count(*) AS n FROM lm GROUP BY quadrant")
 def quadrant_counts(spark, sf_dir):
     out = moran.local_moran(balances(spark, sf_dir), edges(spark, sf_dir))
     return out.groupBy("quadrant").agg(F.count(F.lit(1)).alias("n"))
 
 
-# The values by place in order of the sites; a seeded round gives each site another place.
-PLACED = """ra AS (SELECT c_custkey AS site, c_acctbal AS value, row_number() OVER (ORDER BY c_custkey) AS place FROM customer)"""
-SEEN = """count(*) AS n, 0::BIGINT AS n_isolates, true AS computable, CAST(NULL AS VARCHAR) AS reason"""
-
-
-@query("a29_permutation_test", MORAN + f""", {PLACED}, dr AS (
-  SELECT r, site, row_number() OVER (PARTITION BY r ORDER BY substr(md5('42:' || r || ':' || site), 1, 15), site) AS place FROM va, range(1, 1000) t(r)), sv AS (
-  SELECT r, dr.site, ra.value - m AS z FROM dr JOIN ra ON ra.place = dr.place, mu), sl AS (
+@query("a29_permutation_test", RECURSIVE + f""", {places(999, 42)}, sv AS (
+  SELECT r, ra.site, o.value - m AS z FROM pl JOIN ra USING (place) JOIN ra o ON o.place = pl.y, mu), sl AS (
   SELECT r, kn.site, avg(sv.z) AS lag FROM kn JOIN sv ON sv.site = kn.neighbour GROUP BY r, kn.site), sm AS (
   SELECT sum(z * lag) / sum(z * z) AS sim FROM sv JOIN sl USING (r, site) GROUP BY r), ob AS (
   SELECT {SEEN}, sum(z * lag) / sum(z * z) AS i FROM zl), st AS (
@@ -113,9 +136,8 @@ def permutation_test(spark, sf_dir):
     return B.rounded(moran.permutation_test(balances(spark, sf_dir), edges(spark, sf_dir)))
 
 
-@query("a33_shuffled_control", MORAN + f""", {PLACED}, dr AS (
-  SELECT site, row_number() OVER (ORDER BY substr(md5('7:1:' || site), 1, 15), site) AS place FROM va), sv AS (
-  SELECT dr.site, ra.value - m AS z FROM dr JOIN ra ON ra.place = dr.place, mu), sl AS (
+@query("a33_shuffled_control", RECURSIVE + f""", {places(1, 7)}, sv AS (
+  SELECT ra.site, o.value - m AS z FROM pl JOIN ra USING (place) JOIN ra o ON o.place = pl.y, mu), sl AS (
   SELECT kn.site, avg(sv.z) AS lag FROM kn JOIN sv ON sv.site = kn.neighbour GROUP BY kn.site)
 SELECT {SEEN}, round(sum(z * lag) / sum(z * z), 6) AS morans_i, round(-1.0::DOUBLE / (count(*) - 1), 6) AS expected_i FROM sv JOIN sl USING (site)""")
 def shuffled_control(spark, sf_dir):

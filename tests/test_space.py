@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import bijection
 from plumbline.functions.geo import haversine_matrix
 from plumbline.operators import moran, neighbours
 from plumbline.operators.correlate import correlate
@@ -157,6 +158,52 @@ def test_local_moran_quadrants(spark):
     assert out[7]["local_i"] == pytest.approx(z[7] * lag * 29 / (z * z).sum())
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 26, 997])
+def test_bijection_meets_every_place_once_and_back(spark, n):
+    df = spark.range(n).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(20)))).withColumn("to", bijection.place("id", "round", n, 20, 3))
+    rows = df.withColumn("back", bijection.place("to", "round", n, 20, 3, inverse=True)).collect()
+    for r in range(1, 21):
+        assert sorted(x["to"] for x in rows if x["round"] == r) == list(range(n))
+    assert all(x["back"] == x["id"] for x in rows)
+    assert n < 16 or len({tuple(x["to"] for x in sorted(rows) if x["round"] == r) for r in range(1, 21)}) == 20
+
+
+def test_bijection_spreads_evenly():
+    n, rounds = 50, 4000
+    of = bijection.keys(1, rounds)[np.repeat(np.arange(1, rounds + 1), n)]
+    to = bijection.moved(np.tile(np.arange(n), rounds), of, n).reshape(rounds, n)
+    counts = np.stack([np.bincount(to[:, i], minlength=n) for i in range(n)])
+    chi = ((counts - rounds / n) ** 2 / (rounds / n)).sum() / (n - 1) ** 2
+    assert 0.9 < chi < 1.1 and abs(np.corrcoef(to[:, 0], to[:, 1])[0, 1] + 1 / (n - 1)) < 0.05
+
+
+def local_loop(values, edges, rounds, seed):
+    """Neighbours of a site are drawn as the first sites of the round's order, itself left out."""
+    n, z = len(values), np.array(values) - np.mean(values)
+    scale, out = (n - 1) / (z * z).sum(), {}
+    order = [bijection.moved(np.arange(n), np.repeat(bijection.keys(seed, rounds)[r:r + 1], n, 0), n, inverse=True) for r in range(1, rounds + 1)]
+    for i in range(n):
+        near = [b for a, b in edges if a == i]
+        if near:
+            seen = round(z[i] * z[near].mean() * scale, 9)
+            bigger = sum(round(z[i] * z[[j for j in o if j != i][:len(near)]].mean() * scale, 9) >= seen for o in order)
+            out[i] = (min(bigger, rounds - bigger) + 1) / (rounds + 1)
+        else:
+            out[i] = None
+    return out
+
+
+@pytest.mark.parametrize("split_rows", [None, 10])
+def test_local_moran_equals_a_loop(spark, split_rows):
+    rng = random.Random(8)
+    values = [rng.gauss(0, 1) for _ in range(24)]
+    # A hub with every other site, a site without neighbours, and different degrees.
+    edges = [(0, j) for j in range(1, 24)] + [(i, j) for i in range(1, 23) for j in rng.sample([x for x in range(24) if x != i], 1 + i % 4)]
+    out = moran.local_moran(spark.createDataFrame(list(enumerate(values)), "site long, value double"),
+                            spark.createDataFrame(edges, "site long, neighbour long"), rounds=49, seed=3, split_rows=split_rows).collect()
+    assert {r["site"]: r["p_value"] for r in out} == local_loop(values, edges, 49, 3)
+
+
 def golden(name):
     path = os.environ.get(name)
     if not path:
