@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -19,44 +20,92 @@ from plumbline.session import ship, stored
 CAPACITY = 4096
 END = 1
 # Bytes of words and ids that a Python worker remembers, bytes of text cut into words at a time, words encoded at a time.
-CACHE_BYTES, PART_BYTES, LOT = 48 << 20, 1 << 20, 2000
+CACHE_BYTES, PART_BYTES, LOT = 96 << 20, 1 << 20, 2000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+# How the vocabulary's pre-tokenizer cuts lower-case ASCII (fixed pattern of the vocabulary). Literal special tokens, which
+# begin with SPECIAL, come first and keep their part whole.
+CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 \t\n\x0b\f\r]+")
+SPECIAL = "<|"
+# Marks behind a letter are pieces of their own, whatever letters stand before them.
+TAIL = re.compile(r"[!#-&(-;=-@\[-`{-~]+$")
+
+
+class Memory:
+    """Ids of strings in two generations of about CACHE_BYTES / 2 each: what is in use survives, the rest goes."""
+
+    def __init__(self):
+        self.known, self.older, self.held = {}, {}, 0
+
+    def put(self, key: str, ids: bytes) -> None:
+        self.known[key] = ids
+        self.held += len(key) + len(ids) + 160
+
+    def lacking(self, wanted: set[str]) -> list[str]:
+        """Those of the strings that are in neither generation; the others are in the younger one now."""
+        if self.held > CACHE_BYTES // 2:
+            self.known, self.older, self.held = {}, self.known, 0
+        out = []
+        for key in wanted - self.known.keys():
+            ids = self.older.get(key)
+            if ids is None:
+                out.append(key)
+            else:
+                self.put(key, ids)
+        return out
+
+
+def pieces(text: str | None) -> list[str]:
+    """Strings that one after another have the ids of a text; each is independent of its neighbours."""
+    text = text or ""
+    if text.isascii() and SPECIAL not in text:
+        return CUT.findall(text.lower())
+    out = []
+    for part in text.replace("\n", " ").split(" "):
+        if SPECIAL in part:
+            out.append(part)
+        elif part.isascii():
+            out += CUT.findall(part.lower())
+        else:
+            tail = TAIL.search(part)
+            # The letter must stay one in lower case, which gives some letters a mark.
+            if tail and tail.start() and part[tail.start() - 1].isalpha() and len(part[tail.start() - 1].lower()) == 1:
+                out += [part[:tail.start()], tail[0]]
+            else:
+                out.append(part)
+    return out
+
+
 @lru_cache(maxsize=1)
 def _coder(vocabulary: str):
-    """The tokenizer, once for each Python worker and without threads of its own, and the ids of words met."""
+    """The tokenizer, once for each Python worker and without threads of its own, and the ids of pieces met."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(vocabulary), {}
+    return Tokenizer.from_file(vocabulary), Memory()
 
 
 def token_pieces(vocabulary: str, capacity: int, end_id: int):
     """Arrow function from (doc_id, text) to the pieces of each text.
 
-    White space always separates tokens in this vocabulary, also the special ones, so the ids of a part between
-    spaces are kept in a bounded cache; the parts themselves are encoded by the tokenizer.
+    White space always separates tokens in this vocabulary, also the special ones. ASCII is cut into the vocabulary's
+    own pieces, other parts between spaces stay whole but for marks at their end; a piece met before keeps its ids, new
+    ones are encoded by the tokenizer.
     """
     def run(batches):
-        tokenizer, known = _coder(vocabulary)
-        held = sum(len(w) + len(c) + 160 for w, c in known.items())
+        tokenizer, memory = _coder(vocabulary)
         end = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, "text", PART_BYTES):
             rows = []
-            texts = [(t or "").replace("\n", " ").split(" ") for t in batch.column("text").to_pylist()]
-            if held > CACHE_BYTES:
-                known.clear()
-                held = 0
-            new = list({p for parts in texts for p in parts} - known.keys())
+            texts = [pieces(t) for t in batch.column("text").to_pylist()]
+            new = memory.lacking(set().union(*texts))
             for at in range(0, len(new), LOT):
-                part = new[at:at + LOT]
-                for word, coded in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    ids = coded.ids
-                    known[word] = struct.pack(f"<{len(ids)}I", *ids)
-                    held += len(word) + 4 * len(ids) + 160
-            for doc, parts in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                ids = b"".join(map(known.__getitem__, parts)) + end
+                lot = new[at:at + LOT]
+                for piece, coded in zip(lot, tokenizer.encode_batch_fast(lot, add_special_tokens=False), strict=True):
+                    memory.put(piece, struct.pack(f"<{len(coded.ids)}I", *coded.ids))
+            for doc, cut in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
+                ids = b"".join(map(memory.known.__getitem__, cut)) + end
                 n = len(ids) // 4
                 for piece, start in enumerate(range(0, n, capacity)):
                     body = ids[4 * start:4 * (start + capacity)]
