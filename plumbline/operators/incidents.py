@@ -2,33 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..constants import INCIDENT_KM, WINDOW_S
 from ..functions.geo import haversine_km
 from ..session import cut
-from .ordered import Ordered, group_sizes, sized
+from .ordered import Ordered, sized
+
+
+# Slots of time whose order is settled together; blocks of slots are so few that their order is a matter of one small table.
+SLOTS_BITS = 12
 
 
 def chain(flagged: DataFrame, window_s: float = WINDOW_S, reach_km: float = INCIDENT_KM, time_us: str = "time_us",
-          event_id: str = "event_id", split_rows: int | None = None,
-          sizes: tuple[int, int] | None = None) -> DataFrame:
+          event_id: str = "event_id", split_rows: int | None = None) -> DataFrame:
     """Number the incidents of flagged events (`incident`, in time order over all sites).
 
     An event joins the incident of the event before it when the gap is short, the sites are the
     same or close (unknown places never match), and neither its run nor its session contradicts
     one already in the incident. Columns used: site, lat, lon, run_id, session.
+
+    Time is cut into slots as long as the longest gap. An empty slot parts the chain for certain, so the stretches
+    between empty slots are ordered and chained side by side; a stretch too large for a task is split by `Ordered`.
     """
     def before(column):
         return lambda w: F.lag(column).over(w)
 
-    sizes = sizes or group_sizes(flagged, [])
-    seq = Ordered(flagged, [], [time_us, event_id], split_rows, sizes)
+    width, c, keys = int(window_s * 1e6), F.col, ["_stretch"]
+    rows, sizes = _stretched(flagged, width, time_us)
+    seq = Ordered(rows, keys, [time_us, event_id], split_rows, sizes)
     seq.within(1, _us=before(time_us), _site=before("site"), _lat=before("lat"), _lon=before("lon"))
-    c = F.col
     close = F.coalesce(c("site") == c("_site"), F.lit(False)) | F.coalesce(
         haversine_km(c("_lat"), c("_lon"), c("lat"), c("lon")) <= reach_km, F.lit(False))
-    apart = c("_us").isNull() | (c(time_us) - c("_us") > int(window_s * 1e6)) | ~close
+    apart = c("_us").isNull() | (c(time_us) - c("_us") > width) | ~close
     seq.map(lambda d: d.withColumn("_break", apart.cast("int")))
     seq.running(_coarse=("sum", c("_break")), _pos=("sum", F.lit(1).cast("long")))
     seen = {f"_seen_{x}": ("last", F.when(c(x).isNotNull(), F.struct("_coarse", "_pos", c(x).alias("v"))))
@@ -40,16 +46,49 @@ def chain(flagged: DataFrame, window_s: float = WINDOW_S, reach_km: float = INCI
         return F.when((s["_coarse"] == c("_coarse")) & (s["v"] != c(x)), s["_pos"])
 
     seq.map(lambda d: d.withColumn("_against", F.greatest(conflict("run_id"), conflict("session"))))
-    marked = seq.df.drop("_us", "_site", "_lat", "_lon", *seen)
-    splits = _splits(marked.filter(c("_against").isNotNull()).select("_coarse", "_pos", "_against"), split_rows)
-    if splits is not None:
-        marked = marked.join(splits.select("_pos", F.lit(1).alias("_split")), "_pos", "left").withColumn(
+    marked = cut(seq.df.drop("_us", "_site", "_lat", "_lon", *seen))
+    splits = _splits(marked.filter(c("_against").isNotNull()).select(*keys, "_coarse", "_pos", "_against"), keys, split_rows)
+    if splits is None:
+        # Without contradictions the coarse groups are the incidents.
+        numbered = marked.withColumn("_within", c("_coarse"))
+    else:
+        marked = marked.join(sized(splits.select(*keys, "_pos", F.lit(1).alias("_split"))), [*keys, "_pos"], "left").withColumn(
             "_break", F.greatest("_break", F.coalesce("_split", F.lit(0)))).drop("_split")
-    out = Ordered(marked, [], [time_us, event_id], split_rows, sizes).running(incident=("sum", c("_break"))).df
-    return out.drop("_break", "_coarse", "_pos", "_against")
-
-
-def _splits(conflicts: DataFrame, split_rows: int | None) -> DataFrame | None:
+        numbered = cut(Ordered(marked, keys, [time_us, event_id], split_rows, sizes).running(_within=("sum", c("_break"))).df)
+    # Incidents of the stretches before: summed inside blocks of slots, then over the blocks.
+    found = numbered.groupBy(*keys).agg(F.max("_within").alias("_n")).withColumn("_block", F.shiftright("_stretch", SLOTS_BITS))
+    inside = Window.partitionBy("_block").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    local = found.withColumn("_earlier", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    blocks = found.groupBy("_block").agg(F.sum("_n").alias("_all")).withColumn("_base", F.coalesce(F.sum("_all").over(_earlier()), F.lit(0)))
+    base = local.join(F.broadcast(blocks.select("_block", "_base")), "_block").select(*keys, (c("_earlier") + c("_base")).alias("_before"))
+    out = numbered.join(base, keys).withColumn("incident", c("_before") + c("_within"))
+    return out.select(*flagged.columns, "incident")
+
+
+def _earlier():
+    """Order of the blocks of slots: one row for 4,096 times the longest gap, so a year of two-minute slots has 65."""
+    return Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _stretched(flagged: DataFrame, width: int, time_us: str) -> tuple[DataFrame, tuple[int, int]]:
+    """Rows with the first slot of their stretch of filled slots, and (rows of the largest stretch, all rows)."""
+    at = F.col(time_us)
+    slotted = cut(flagged.withColumn("_slot", F.call_function("div", at - F.pmod(at, F.lit(width)), F.lit(width))))
+    slots = slotted.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n"))
+    filled = slots.select((F.col("_slot") + 1).alias("_slot"), F.lit(True).alias("_after"))
+    first = slots.join(filled, "_slot", "left").withColumns({
+        "_first": F.when(F.col("_after").isNull(), F.col("_slot")), "_block": F.shiftright("_slot", SLOTS_BITS)})
+    inside = Window.partitionBy("_block").orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
+    local = first.withColumn("_from", F.last("_first", ignorenulls=True).over(inside))
+    blocks = first.groupBy("_block").agg(F.max("_first").alias("_last")).withColumn("_carried", F.last("_last", ignorenulls=True).over(_earlier()))
+    stretches = cut(local.join(F.broadcast(blocks.select("_block", "_carried")), "_block").select(
+        "_slot", F.coalesce("_from", "_carried").alias("_stretch"), "_n"))
+    facts = stretches.groupBy("_stretch").agg(F.sum("_n").alias("n")).agg(F.max("n").alias("top"), F.sum("n").alias("total")).first()
+    rows = slotted.join(stretches.drop("_n"), "_slot").drop("_slot")
+    return rows, (int(facts["top"] or 0), int(facts["total"] or 0))
+
+
+def _splits(conflicts: DataFrame, keys: list[str], split_rows: int | None) -> DataFrame | None:
     """Which contradictions really open a new incident, or None if there are none.
 
     A row contradicts an earlier position; that only counts if no split lies in between. Where
@@ -57,31 +96,30 @@ def _splits(conflicts: DataFrame, split_rows: int | None) -> DataFrame | None:
     the next one is the first row that contradicts a position at or after it, so the rest follows
     from the certain ones by following that link, doubled in every round.
     """
-    conflicts = cut(conflicts)
     if conflicts.isEmpty():
         return None
-    seq = Ordered(conflicts, [], ["_pos"], split_rows).within(
+    seq = Ordered(conflicts, keys, ["_pos"], split_rows).within(
         1, _last=lambda w: F.lag("_pos").over(w), _last_coarse=lambda w: F.lag("_coarse").over(w))
     certain = F.col("_last").isNull() | (F.col("_last_coarse") != F.col("_coarse")) | (
         F.col("_against") >= F.col("_last"))
-    marked = cut(seq.df.select("_pos", "_against", certain.alias("_certain")))
-    chosen = marked.filter("_certain").select("_pos")
+    marked = cut(seq.df.select(*keys, "_pos", "_against", certain.alias("_certain")))
+    chosen = marked.filter("_certain").select(*keys, "_pos")
     if marked.filter("NOT _certain").isEmpty():
         return chosen
-    ends = marked.select(F.col("_against").alias("_x"), F.lit(1).alias("_kind"), "_pos",
+    ends = marked.select(*keys, F.col("_against").alias("_x"), F.lit(1).alias("_kind"), "_pos",
                          F.col("_pos").alias("_end"))
-    asks = marked.select(F.col("_pos").alias("_x"), F.lit(0).alias("_kind"), "_pos",
+    asks = marked.select(*keys, F.col("_pos").alias("_x"), F.lit(0).alias("_kind"), "_pos",
                          F.lit(None).cast("long").alias("_end"))
-    links = Ordered(ends.unionByName(asks), [], ["_x", "_kind", "_pos"], split_rows).running(
+    links = Ordered(ends.unionByName(asks), keys, ["_x", "_kind", "_pos"], split_rows).running(
         reverse=True, _next=("min", F.col("_end"))).df
-    jump = cut(links.filter("_kind = 0 AND _next IS NOT NULL").select("_pos", "_next"))
+    jump = cut(links.filter("_kind = 0 AND _next IS NOT NULL").select(*keys, "_pos", "_next"))
     chosen, known = cut(chosen), -1
     while (size := chosen.count()) != known:
         known = size
-        reached = chosen.join(jump, "_pos").select(F.col("_next").alias("_pos"))
+        reached = chosen.join(jump, [*keys, "_pos"]).select(*keys, F.col("_next").alias("_pos"))
         chosen = cut(chosen.unionByName(reached).distinct())
-        second = jump.select(F.col("_pos").alias("_next"), F.col("_next").alias("_far"))
-        jump = cut(jump.join(second, "_next").select("_pos", F.col("_far").alias("_next")))
+        second = jump.select(*keys, F.col("_pos").alias("_next"), F.col("_next").alias("_far"))
+        jump = cut(jump.join(second, [*keys, "_next"]).select(*keys, "_pos", F.col("_far").alias("_next")))
     return chosen
 
 

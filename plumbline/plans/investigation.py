@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fx
 from ..operators import correlate, feedback, incidents, neighbours, priority, profile
-from ..operators.ordered import Ordered, group_sizes, sized
+from ..operators.ordered import Ordered, sized
 from . import alerting, bindings as B
 from .registry import query
 
@@ -241,8 +241,7 @@ CHAIN = SCORED + f""", g0 AS (
 
 
 def chained(spark, sf_dir):
-    every = group_sizes(B.events(spark, sf_dir), [])
-    return incidents.chain(flagged(spark, sf_dir), window_s=900, reach_km=60.0, sizes=every)
+    return incidents.chain(flagged(spark, sf_dir), window_s=900, reach_km=60.0)
 
 
 @query("w18_incident_chain", CHAIN + " SELECT event_id, incident FROM ch")
@@ -250,6 +249,32 @@ def incident_chain(spark, sf_dir):
     return chained(spark, sf_dir).select("event_id", "incident")
 
 
+# Runs and sessions that are partly missing and contradict each other: what an incident has seen so far decides.
+PARTLY = SCORED.replace("WITH", "WITH RECURSIVE", 1) + f""", go AS (
+  SELECT event_id, time_us, CASE WHEN event_id % 3 > 0 THEN 'R' || CAST(event_id % 5 // 3 AS VARCHAR) END AS run_id,
+    CASE WHEN event_id % 4 <> 1 THEN 'S' || CAST(event_id % 7 // 5 AS VARCHAR) END AS session, site, lat, lon,
+    lag(time_us) OVER w AS pu, lag(site) OVER w AS ps, lag(lat) OVER w AS pa, lag(lon) OVER w AS po FROM fl WHERE flagged WINDOW w AS (ORDER BY time_us, event_id)), gc AS (
+  SELECT *, sum(CASE WHEN pu IS NULL OR time_us - pu > 1800000000 OR NOT (ps = site OR coalesce({B.km('pa', 'po', 'lat', 'lon')} <= 120, false)) THEN 1 ELSE 0 END)
+    OVER (ORDER BY time_us, event_id ROWS UNBOUNDED PRECEDING) AS coarse FROM go), gp AS (
+  SELECT event_id, run_id, session, coarse, row_number() OVER (PARTITION BY coarse ORDER BY time_us, event_id) AS pos FROM gc), fo AS (
+  SELECT coarse, pos, event_id, run_id, session, 0 AS part FROM gp WHERE pos = 1 UNION ALL
+  SELECT coarse, pos, event_id, CASE WHEN against THEN run_id ELSE coalesce(run_id, seen_run) END,
+    CASE WHEN against THEN session ELSE coalesce(session, seen_session) END, part + against::INTEGER
+  FROM (SELECT gp.*, fo.part, fo.run_id AS seen_run, fo.session AS seen_session,
+          coalesce(fo.run_id <> gp.run_id, false) OR coalesce(fo.session <> gp.session, false) AS against
+        FROM fo JOIN gp ON gp.coarse = fo.coarse AND gp.pos = fo.pos + 1))"""
+
+
+@query("w18_partly_missing", PARTLY + """
+SELECT event_id, CAST(dense_rank() OVER (ORDER BY coarse, part) AS BIGINT) AS incident FROM fo""")
+def partly_missing(spark, sf_dir):
+    e = F.col("event_id")
+    rows = flagged(spark, sf_dir).withColumns({
+        "run_id": F.when(e % 3 > 0, F.concat(F.lit("R"), F.floor(e % 5 / 3).cast("string"))),
+        "session": F.when(e % 4 != 1, F.concat(F.lit("S"), F.floor(e % 7 / 5).cast("string")))})
+    return incidents.chain(rows, window_s=1800, reach_km=120.0).select("event_id", "incident")
+
+
 def labels(spark, sf_dir):
     return B.table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("event_id"), F.when(F.col("quality") == 1, "confirmed").otherwise("dismissed").alias("label"))
