@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.ordered import Ordered
-from ..session import cut
 
 
 def write_chunks(rows: DataFrame, order: list[str], path: str, chunks: int) -> None:
@@ -18,15 +19,32 @@ def write_chunks(rows: DataFrame, order: list[str], path: str, chunks: int) -> N
 
 
 def write_groups(rows: DataFrame, group: str, path: str) -> None:
-    """One appended write per group, in ascending order; each becomes one file and one micro-batch."""
-    rows = cut(rows)
-    names = [r[group] for r in rows.select(group).distinct().orderBy(group).collect()]
-    for name in names:
-        rows.filter(F.col(group) == F.lit(name)).drop(group).coalesce(1).write.mode("append").parquet(path)
+    """All groups in one appended write, a file for each; a file stream meets them one by one in ascending order.
+
+    Streams take files by their time, so the new files get times in the order of their groups, behind those already
+    there. A group is one micro-batch and with that one file; rows without a group belong to none.
+    """
+    spark = rows.sparkSession
+    before = _files(spark, path)
+    kept = rows.filter(F.col(group).isNotNull()).withColumn("_group", F.col(group)).drop(group)
+    kept.repartition("_group").sortWithinPartitions("_group").write.mode("append").partitionBy("_group").parquet(path)
+    number = dict(rows.dtypes)[group] in ("tinyint", "smallint", "int", "bigint")
+    added = sorted(((int(name) if number else name, file) for file, (name, _) in _files(spark, path).items() if file not in before))
+    first = max([int(time.time()) - len(added), *(at // 1000 + 1 for _, at in before.values())])
+    for k, (_, file) in enumerate(added):
+        target = spark._jvm.org.apache.hadoop.fs.Path(file)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).setTimes(target, (first + k) * 1000, -1)
+
+
+def _files(spark: SparkSession, path: str) -> dict[str, tuple[str, int]]:
+    """Data files below the folder: their group and time."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_group=*/part-*")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return {f.getPath().toString(): (f.getPath().getParent().getName().removeprefix("_group="), f.getModificationTime()) for f in found or []}
 
 
 def read_chunks(spark: SparkSession, schema, path: str) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/_group=*")
 
 
 def gap_seconds(rows: DataFrame, keys: list[str], order: list[str], time_us: str, split_rows=None) -> DataFrame:
