@@ -61,3 +61,17 @@ def test_keyed_state_equals_the_batch_job(spark, tmp_path):
     out = drained(keyed.alert_states(replay.read_chunks(spark, rows.schema, str(tmp_path / "in"))), "alerts")
     wanted = alerts.hysteresis(rows, ["site"], ["time_us"], "above")
     assert sorted(out.select("event_id", "alert_state").collect()) == sorted(wanted.select("event_id", "alert_state").collect())
+
+
+def test_an_unknown_site_rejects_its_whole_batch(spark, tmp_path):
+    store = str(tmp_path / "store")
+    sites = spark.createDataFrame([(i, 0.01 * i, 109.0) for i in range(3)], "site long, lat double, lon double")
+    rows = spark.createDataFrame([(1, 0, 1, 1_000_000, 0.9, "a"), (2, 77, 2, 2_000_000, 0.9, "a"), (3, 1, 3, 3_000_000, 0.1, "b"),
+                                  (4, 2, 4, 4_000_000, 0.1, None), (5, 0, 5, 5_000_000, 0.9, "b")], SCHEMA + ", request string")
+    intake = pipeline.Intake(store, sites, verdicts, batch="request")
+    intake.process(rows, 0)
+    intake.process(rows.filter("request = 'a'").withColumn("site", F.col("site") % 75), 1)
+    events = pipeline.read(spark, store, "events", pipeline.EVENTS)
+    assert {r["source_id"]: r["event_id"] for r in events.collect()} == {3: 1, 4: 2, 5: 3, 1: 4, 2: 5}
+    rejected = spark.read.json(f"{store}/rejected").filter("epoch = 0")
+    assert {r["source_id"]: r["reason"] for r in rejected.collect()} == {1: "another row of the batch", 2: "unknown site"}
