@@ -28,7 +28,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 # begin with SPECIAL, come first and keep their part whole.
 CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9 \t\n\x0b\f\r]+")
 SPECIAL = "<|"
-# Marks behind a letter are pieces of their own, whatever letters stand before them.
+OTHER, SPACE = re.compile("[^\\x00-\\x7f]+"), re.compile("[ \\n]")
+# Marks and digits behind a letter are pieces of their own, whatever letters stand before them.
 TAIL = re.compile(r"[!#-&(-;=-@\[-`{-~]+$")
 
 
@@ -56,25 +57,35 @@ class Memory:
         return out
 
 
+def _part(part: str) -> list[str]:
+    """Pieces of a part between spaces that is not all ASCII."""
+    tail = None if part[-1].isalnum() else TAIL.search(part)
+    # The letter must stay one in lower case, which gives some letters a mark.
+    if tail and tail.start() and part[tail.start() - 1].isalpha() and len(part[tail.start() - 1].lower()) == 1:
+        return [part[:tail.start()], *CUT.findall(tail[0])]
+    return [part]
+
+
 def pieces(text: str | None) -> list[str]:
     """Strings that one after another have the ids of a text; each is independent of its neighbours."""
     text = text or ""
-    if text.isascii() and SPECIAL not in text:
+    if SPECIAL in text:
+        parts = text.replace("\n", " ").split(" ")
+        return [x for p in parts for x in ([p] if SPECIAL in p else CUT.findall(p.lower()) if p.isascii() else _part(p))]
+    if text.isascii():
         return CUT.findall(text.lower())
-    out = []
-    for part in text.replace("\n", " ").split(" "):
-        if SPECIAL in part:
-            out.append(part)
-        elif part.isascii():
-            out += CUT.findall(part.lower())
-        else:
-            tail = TAIL.search(part)
-            # The letter must stay one in lower case, which gives some letters a mark.
-            if tail and tail.start() and part[tail.start() - 1].isalpha() and len(part[tail.start() - 1].lower()) == 1:
-                out += [part[:tail.start()], tail[0]]
-            else:
-                out.append(part)
-    return out
+    # ASCII between the other parts is cut at one go.
+    out, done = [], 0
+    for other in OTHER.finditer(text):
+        if other.start() >= done:
+            first = max(text.rfind(" ", done, other.start()), text.rfind("\n", done, other.start()), done - 1) + 1
+            end = SPACE.search(text, other.end())
+            end = end.start() if end else len(text)
+            if first > done:
+                out += CUT.findall(text[done:first].lower())
+            out += _part(text[first:end])
+            done = end
+    return out + CUT.findall(text[done:].lower())
 
 
 @lru_cache(maxsize=1)
@@ -83,7 +94,25 @@ def _coder(vocabulary: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(vocabulary), Memory()
+    tokenizer = Tokenizer.from_file(vocabulary)
+    names = tokenizer.get_vocab(with_added_tokens=True)
+    ends = np.zeros(max(names.values()) + 1, bool)
+    ends[[at for name, at in names.items() if name.endswith("</w>")]] = True
+    return tokenizer, Memory(), ends
+
+
+def _encode(tokenizer, ends: np.ndarray, lot: list[str], memory: Memory) -> None:
+    """Ids of pieces. ASCII ones go through the tokenizer as one text: each ends with the one token that marks an end."""
+    plain, other = [p for p in lot if p.isascii() and SPECIAL not in p], [p for p in lot if not p.isascii() or SPECIAL in p]
+    if plain:
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+        data, stops = ids.tobytes(), (4 * np.flatnonzero(ends[ids]) + 4).tolist()
+        for piece, start, stop in zip(plain, [0, *stops], stops, strict=False):
+            memory.put(piece, data[start:stop])
+        if len(stops) != len(plain):
+            raise ValueError("the vocabulary cuts a piece in two")
+    for piece, coded in zip(other, tokenizer.encode_batch_fast(other, add_special_tokens=False) if other else [], strict=True):
+        memory.put(piece, struct.pack(f"<{len(coded.ids)}I", *coded.ids))
 
 
 def token_pieces(vocabulary: str, capacity: int, end_id: int):
@@ -94,16 +123,14 @@ def token_pieces(vocabulary: str, capacity: int, end_id: int):
     ones are encoded by the tokenizer.
     """
     def run(batches):
-        tokenizer, memory = _coder(vocabulary)
+        tokenizer, memory, ends = _coder(vocabulary)
         end = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, "text", PART_BYTES):
             rows = []
             texts = [pieces(t) for t in batch.column("text").to_pylist()]
             new = memory.lacking(set().union(*texts))
             for at in range(0, len(new), LOT):
-                lot = new[at:at + LOT]
-                for piece, coded in zip(lot, tokenizer.encode_batch_fast(lot, add_special_tokens=False), strict=True):
-                    memory.put(piece, struct.pack(f"<{len(coded.ids)}I", *coded.ids))
+                _encode(tokenizer, ends, new[at:at + LOT], memory)
             for doc, cut in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
                 ids = b"".join(map(memory.known.__getitem__, cut)) + end
                 n = len(ids) // 4
