@@ -1,6 +1,7 @@
 """Recording folders: three CSV files and a scenario document each, read all at once.
 
-All files of one kind share their header; a file with another one is an error, not a shift of columns.
+Every CSV file goes by its own header: columns may stand in another order, lack or be more. What can't be read costs only its
+recording: `quarantined` names those left out and why.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ NAV_COLUMNS = ("iTOW", "fixType", "gSpeed", "hAcc", "vAcc", "sAcc", "headAcc", "
 SATELLITE_COLUMNS = {"pseudorange_L1": "pseudorange", "carrier_phase_L1": "carrier", "doppler_L1": "doppler",
                      "snr_L1": "snr", "pseudorange_L2": "pseudorange_l2", "snr_L2": "snr_l2"}
 RF_COLUMNS = ("jamInd_01", "jamInd_02", "agcCnt_01", "agcCnt_02", "noisePerMS_01", "noisePerMS_02")
+# Columns without which a recording can't be used.
+REQUIRED = {NAV_FILE: ("real_time", "iTOW", "lat", "lon", "height"), SATELLITE_FILE: ("time", "satellite", "pseudorange_L1", "doppler_L1", "snr_L1"),
+            RF_FILE: ("real_time",)}
 TOLERANCE_S = 1.0
 
 SCENARIO = T.StructType([
@@ -71,17 +75,68 @@ def read_csv(spark: SparkSession, path: str, numbers: dict[str, str], texts: lis
     return rows.filter(F.col(time).isNotNull()).withColumn("time_us", micros(time)) if time else rows
 
 
+def headers(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """Column names of every file of one name, from its first line: (path, run_id, header)."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root).select(
+        F.col("_metadata.file_path").alias("path"), _run_id(root).alias("run_id"), F.col("_metadata.file_block_start").alias("_at"), "value",
+        F.monotonically_increasing_id().alias("_row"))
+    first = lines.filter("_at = 0").groupBy("path", "run_id").agg(F.min_by("value", "_row").alias("_line"))
+    clean = F.regexp_replace("_line", "^\\ufeff|\r$", "")
+    return first.select("path", "run_id", F.transform(F.split(clean, ","), lambda c: F.trim(F.regexp_replace(c, '"', ""))).alias("header"))
+
+
+def read_by_name(spark: SparkSession, root: str, name: str, numbers: dict[str, str], texts: list[str], time: str) -> DataFrame:
+    """Chosen columns of all files of one name, each by its own header; a bad number, or a column a file lacks, is missing.
+
+    Files are read once, without names; a small table has the place of each column in each file.
+    """
+    known = cut(headers(spark, root, name))
+    width = known.agg(F.max(F.size("header")).alias("n")).first()["n"] or 1
+    raw = spark.read.schema(T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])).option(
+        "recursiveFileLookup", True).option("pathGlobFilter", name).csv(root)
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    cells = raw.select(F.array(*[F.col(f"_c{i}") for i in range(width)]).alias("_cells"), F.col("_metadata.file_path").alias("path"),
+                       (F.col("_metadata.file_block_start") + row).alias("src_idx"))
+    placed = cells.join(sized(known), "path").filter(
+        F.array_join(F.slice("_cells", 1, F.size("header")), ",", "") != F.array_join("header", ","))
+
+    def column(c: str) -> Column:
+        at = F.array_position("header", c).cast("int")
+        return F.when(at > 0, F.get("_cells", at - 1))
+
+    rows = nan_to_null(placed.select(*[column(c).alias(c) for c in texts], *[column(c).try_cast("double").alias(out) for c, out in numbers.items()],
+                                     F.try_to_timestamp(column(time)).alias(time), "src_idx", "run_id"))
+    return rows.filter(F.col(time).isNotNull()).withColumn("time_us", micros(time))
+
+
 def read_nav(spark: SparkSession, root: str) -> DataFrame:
-    return read_csv(spark, root, {c: c for c in NAV_COLUMNS}, [], "real_time", _run_id(root), NAV_FILE)
+    return read_by_name(spark, root, NAV_FILE, {c: c for c in NAV_COLUMNS}, [], "real_time")
 
 
 def read_satellites(spark: SparkSession, root: str) -> DataFrame:
-    rows = read_csv(spark, root, SATELLITE_COLUMNS, ["satellite"], "time", _run_id(root), SATELLITE_FILE)
-    return rows.na.drop(subset=["satellite"])
+    return read_by_name(spark, root, SATELLITE_FILE, SATELLITE_COLUMNS, ["satellite"], "time").na.drop(subset=["satellite"])
 
 
 def read_rf(spark: SparkSession, root: str) -> DataFrame:
-    return read_csv(spark, root, {c: c for c in RF_COLUMNS}, [], "real_time", _run_id(root), RF_FILE)
+    return read_by_name(spark, root, RF_FILE, {c: c for c in RF_COLUMNS}, [], "real_time")
+
+
+def quarantined(spark: SparkSession, root: str) -> DataFrame:
+    """Recordings that are left out, and why: a file lacks or is empty, a file lacks a column, or the scenario can't be read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), _run_id(root).alias("run_id"))
+    needed = [NAV_FILE, SATELLITE_FILE, RF_FILE, SCENARIO_FILE]
+    files = listed.filter(F.col("name").isin(needed)).groupBy("run_id").agg(F.collect_set("name").alias("_have"))
+    lost = files.select("run_id", F.explode(F.array_except(F.array(*map(F.lit, needed)), "_have")).alias("_x")).select(
+        "run_id", F.concat(F.lit("no file "), "_x").alias("reason"))
+    out = lost.unionByName(read_scenarios(spark, root)[1].select("run_id", F.lit(f"unreadable {SCENARIO_FILE}").alias("reason")))
+    for name, columns in REQUIRED.items():
+        lacking = F.array_except(F.array(*map(F.lit, columns)), "header")
+        have = files.filter(F.array_contains("_have", name)).select("run_id").join(headers(spark, root, name), "run_id", "left").withColumn(
+            "header", F.coalesce("header", F.array().cast("array<string>")))
+        out = out.unionByName(have.select("run_id", F.explode(lacking).alias("_x")).select(
+            "run_id", F.concat(F.lit("no column "), "_x", F.lit(f" in {name}")).alias("reason")))
+    return out
 
 
 def read_scenarios(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -131,7 +186,8 @@ def feature_table(nav: DataFrame, satellites: DataFrame, rf: DataFrame, windows:
 def build_features(spark: SparkSession, root: str, limits: features.Limits = features.Limits()) -> DataFrame:
     """The feature table of all complete recordings below a folder."""
     scenarios, _ = read_scenarios(spark, root)
-    usable = settled(complete_runs(spark, root).join(scenarios.select("run_id"), "run_id", "left_semi"))
+    usable = settled(complete_runs(spark, root).join(scenarios.select("run_id"), "run_id", "left_semi")
+                     .join(quarantined(spark, root).select("run_id"), "run_id", "left_anti"))
 
     def kept(df):
         return df.join(usable, "run_id", "left_semi")

@@ -128,10 +128,30 @@ def test_feature_files_keep_rows_and_missing_values(spark, table, tmp_path):
     assert back.count() == len(table) and set(back.columns) == set(df.columns)
 
 
-def test_a_file_with_other_columns_is_an_error(spark, root, tmp_path):
-    write_run(tmp_path / "x", 1, seconds=5)
-    write_run(tmp_path / "y", 2, seconds=5)
-    lines = (tmp_path / "y" / "nav_pvt.csv").read_text().splitlines()
-    (tmp_path / "y" / "nav_pvt.csv").write_text("\n".join([lines[0].replace("iTOW", "zz"), *lines[1:]]))
-    with pytest.raises(Exception, match="CSV header"):
-        recordings.read_nav(spark, str(tmp_path)).select("iTOW", "hAcc").collect()
+def test_each_file_goes_by_its_own_header_and_a_bad_one_costs_its_recording_only(spark, tmp_path):
+    for i, name in enumerate(("plain", "moved", "short", "renamed", "empty", "mangled")):
+        write_run(tmp_path / name, 1, seconds=40)
+    def rewrite(name, change, file="nav_pvt.csv"):
+        table = pd.read_csv(tmp_path / name / file, dtype=str, keep_default_na=False)
+        change(table).to_csv(tmp_path / name / file, index=False)
+    rewrite("moved", lambda t: t[t.columns[::-1]].assign(extra="x,y"))
+    rewrite("short", lambda t: t.drop(columns=["hAcc", "unused"]))
+    rewrite("renamed", lambda t: t.rename(columns={"iTOW": "zz"}))
+    (tmp_path / "empty" / "mon_rf.csv").write_text("")
+    (tmp_path / "mangled" / "rinex.csv").write_bytes(b"\x00\xff\xfe\nnot,a,table\n")
+    (tmp_path / "mangled" / "scenario.json").write_text("{")
+    nav = recordings.read_nav(spark, str(tmp_path)).toPandas().sort_values("time_us")
+    plain, moved, short = (nav[nav.run_id == r].reset_index(drop=True) for r in ("plain", "moved", "short"))
+    values = ["time_us", *recordings.NAV_COLUMNS]
+    pd.testing.assert_frame_equal(plain[values], moved[values])
+    assert short.hAcc.isna().all() and len(short) == len(plain) == 39
+    pd.testing.assert_frame_equal(plain[values].drop(columns="hAcc"), short[values].drop(columns="hAcc"))
+    why = {}
+    for r in recordings.quarantined(spark, str(tmp_path)).collect():
+        why.setdefault(r["run_id"], set()).add(r["reason"])
+    assert why.keys() == {"renamed", "empty", "mangled"}
+    assert why["renamed"] == {"no column iTOW in nav_pvt.csv"} and why["empty"] == {"no file mon_rf.csv"}
+    assert "unreadable scenario.json" in why["mangled"] and "no column satellite in rinex.csv" in why["mangled"]
+    table = recordings.build_features(spark, str(tmp_path)).toPandas()
+    assert sorted(table.run_id.unique()) == ["moved", "plain", "short"]
+    assert table.groupby("run_id").size().nunique() == 1
