@@ -208,7 +208,7 @@ def _calibrator(df: DataFrame, label: str, method: str):
     both = df.select("_raw", sides.alias("_s")).select("_raw", F.col("_s.y").alias("_y"), F.col("_s.w").alias("_w"))
     ready = VectorAssembler(inputCols=["_raw"], outputCol="_v").transform(both)
     return LogisticRegression(featuresCol="_v", labelCol="_y", weightCol="_w", probabilityCol="_pc", rawPredictionCol="_rc",
-                              predictionCol="_cal", maxIter=200, tol=1e-10).fit(ready)
+                              predictionCol="_cal", maxIter=100, tol=1e-8).fit(ready)
 
 
 def _apply(model, df: DataFrame, method: str, out: str) -> DataFrame:
