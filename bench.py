@@ -18,7 +18,7 @@ HEADLINES = (
     "w24_tracked_set_overlap", "j01_nearest_asof", "j02_interval_labels", "j04_correlation", "j07_nearest_sites",
     "j13_positional_join", "j18_radius_sums", "w18_incident_chain", "a26_o06_incidents", "w20_priority_list",
     "a10_a11_baseline_profile", "a13_a14_drift_report", "a18_a19_ranking_quality", "a28_global_moran", "a30_local_moran",
-    "m02_m07_forest_scores", "t02_s15_stream_alert_state", "t01_t04_t05_stream_intake",
+    "m02_m07_forest_scores", "m10_additivity", "t02_s15_stream_alert_state", "t01_t04_t05_stream_intake",
 )
 
 
