@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import slices, table
-from plumbline.session import ship, stored
+from plumbline.session import broadcast_rows, ship, stored
 
 WORDS, SEED, BITS = 4, 42, 4
 # Six blocks of bits: fingerprints that differ in at most four bits agree on two blocks at least.
@@ -237,18 +237,19 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.array(codes, np.uint64).view(np.int64))
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, mark, sid, h) of each row; `sid` stands for the set of shingles h."""
+def _sets(docs: DataFrame, words: int, part=None) -> DataFrame:
+    """(doc_id, mark, sid, n, h) of each row; `sid` stands for the set of its n shingles, h are all of them or what `part` takes."""
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
             sid = pa.array([_sid(x) for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), sid, pa.array(sets, pa.list_(pa.int64()))],
-                                             ["doc_id", "mark", "sid", "h"])
+            n = pa.array([len(x) for x in sets], pa.int32())
+            held = pa.array(sets if part is None else [part(x) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), sid, n, held], ["doc_id", "mark", "sid", "n", "h"])
 
     ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("mark"), "text").mapInArrow(
-        run, "doc_id long, mark long, sid long, h array<long>")
+        run, "doc_id long, mark long, sid long, n int, h array<long>")
 
 
 def _sid(found: np.ndarray) -> int:
@@ -257,11 +258,30 @@ def _sid(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of sets whose Jaccard similarity reaches `similarity`, by the sets themselves."""
-    pairs = stored(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    used = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    known = stored(sets.select("sid", "h").join(used, "sid", "left_semi").groupBy("sid").agg(F.first("h").alias("h")), "sets")
+def _possible(shared, n, o, similarity: float):
+    """Whether sets of n and o shingles can be similar if their prefixes share `shared`.
+
+    Of two prefixes one ends first in the order of all shingles: what the sets share up to there stands in both prefixes,
+    what they share behind it is at most the rest of that set.
+    """
+    rest = F.ceil(similarity * F.greatest(n, o) - 1e-9) - 1
+    return (shared + rest) * (1 + similarity) >= similarity * (F.col(n) + F.col(o)) - 1e-6
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, prefixes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of sets whose Jaccard similarity reaches `similarity`: first by their prefixes, then by the sets themselves.
+
+    Sets that stand in no pair are left out before anything is shuffled while the list of those that do is small
+    enough to broadcast; beyond that both are shuffled.
+    """
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one, two = (prefixes.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), F.col("h").alias(f"h{c}")) for c in "ab")
+    possible = _possible(F.size(F.array_intersect("ha", "hb")), "na", "nb", similarity)
+    pairs = stored(pairs.join(one, "a").join(two, "b").where(possible).select("a", "b"), "pairs")
+    used = stored(pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct(), "used")
+    small = used.count() <= broadcast_rows(pairs.sparkSession)
+    wanted = sets.select("sid", "h").join(F.broadcast(used) if small else used, "sid", "left_semi")
+    known = stored(wanted.groupBy("sid").agg(F.first("h").alias("h")), "sets")
     one, two = (known.select(F.col("sid").alias(c), F.col("h").alias(f"h{c}")) for c in "ab")
     both = F.size(F.array_intersect("ha", "hb"))
     return pairs.join(one, "a").join(two, "b").where(both >= similarity * (F.size("ha") + F.size("hb") - both) - 1e-9).select("a", "b")
@@ -273,39 +293,40 @@ def similar_groups(docs: DataFrame, words: int = SIMILAR_WORDS, similarity: floa
     No pair is missed: with all shingles in one order, two sets that similar share one of the first
     n - ceil(similarity * n) + 1 of each. Frequent shingles of a sample stand last in that order, which changes the
     work only. Sets first meet one set drawn for each shingle, so that dense groups need no pair lists; afterwards
-    only pairs of different groups are compared.
+    only pairs of different groups are compared. Equal sets count once from the start. Null and wordless texts are
+    one group, a text without a similar one is a group of its own; an empty table gives no rows.
     """
     sets = _sets(docs, words)
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
     counts = _sets(sample, words).select(F.explode("h").alias("key")).groupBy("key").count().where(F.col("count") > FREQUENT)
     last = np.sort(np.array([r["key"] for r in counts.orderBy(F.desc("count"), "key").limit(LATE_KEYS).collect()], np.int64))
 
-    def prefix(batches):
-        for batch in batches:
-            keys = []
-            for found in batch.column("h"):
-                x = np.asarray(found.values, np.int64)
-                if len(last):
-                    late = last[np.minimum(np.searchsorted(last, x), len(last) - 1)] == x
-                    x = np.concatenate([x[~late], x[late]])
-                keys.append(x[:len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1])
-            sizes = pa.array([len(x) for x in batch.column("h")], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "mark", "sid")), sizes, pa.array(keys, pa.list_(pa.int64()))],
-                                             ["doc_id", "mark", "sid", "n", "keys"])
-
-    rows = stored(sets.mapInArrow(prefix, "doc_id long, mark long, sid long, n long, keys array<long>"), "prefixes")
-    met = stored(rows.where("n > 0").select(F.explode("keys").alias("key"), "sid", "n").distinct(), "met")
-    centre = met.groupBy("key").agg(F.min(F.struct(F.xxhash64("sid", "key").alias("_"), "sid", "n")).alias("c"), F.count("*").alias("m")).where("m > 1")
+    def prefix(x):
+        if len(last):
+            late = last[np.minimum(np.searchsorted(last, x), len(last) - 1)] == x
+            x = np.concatenate([x[~late], x[late]])
+        return x[:len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1]
+
+    rows = stored(_sets(docs, words, prefix), "prefixes")
+    distinct = stored(rows.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("h").alias("h")), "distinct-sets")
+    every = distinct.select(F.explode("h").alias("key"), "sid", "n")
+    # The sets of a key in an order of its own; the least is the one drawn. The mask gives the set back.
+    mask = F.xxhash64("key")
+    order = F.col("sid").bitwiseXOR(mask)
+    shared = every.groupBy("key").agg(F.min(order).alias("low"), F.max(order).alias("high"), F.min_by("n", order).alias("o")).where("low <> high")
+    drawn = stored(shared.select("key", F.col("low").bitwiseXOR(mask).alias("b"), "o"), "drawn-sets")
+    met = stored(every.join(drawn, "key"), "met")
     fits = F.least("n", "o") >= similarity * F.greatest("n", "o") - 1e-9
-    drawn = met.join(centre.select("key", F.col("c.sid").alias("b"), F.col("c.n").alias("o")), "key").where(fits)
-    first = stored(_similar(drawn.select(F.col("sid").alias("a"), "b"), sets, similarity), "drawn")
+    first = stored(_similar(met.where(fits).select(F.col("sid").alias("a"), "b"), sets, distinct, similarity), "drawn")
     roots = stored(components(first).withColumnRenamed("fp", "sid"), "first-roots")
-    placed = met.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    placed = met.select("key", "sid", "n").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
     open_ = stored(placed.join(mixed, "key", "left_semi"), "open")
     others = open_.select("key", F.col("sid").alias("b"), F.col("n").alias("o"), F.col("root").alias("of"))
     across = open_.join(others, "key").where((F.col("sid") < F.col("b")) & (F.col("root") != F.col("of")) & fits)
-    second = _similar(across.select(F.col("sid").alias("a"), "b"), sets, similarity)
+    # Shared keys of sets of different groups are all open, so their number is that of the prefixes.
+    counted = across.groupBy("sid", "b", "n", "o").agg(F.count("*").alias("shared")).where(_possible(F.col("shared"), "n", "o", similarity))
+    second = _similar(counted.select(F.col("sid").alias("a"), "b"), sets, distinct, similarity)
     final = stored(components(first.union(second)).withColumnRenamed("fp", "sid"), "similar-roots")
     return rows.select("doc_id", "mark", "sid").join(final, "sid", "left").select("doc_id", "mark", F.coalesce("root", "sid").alias("root"))
 
